@@ -158,14 +158,14 @@ def _least(items, window: int) -> int:
 
 
 def _scans(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[str]) -> DataFrame:
-    """The columns `keep`, and n_words, spans (merged, in words) and items over all shards."""
+    """The columns `keep`, and __words, __hit, __items over all shards, and __kept: the text without hit spans."""
     spark = docs.sparkSession
     shared = []
     for items in _shards(benchmark, SHARD_WORDS):
         if items:
             shared.append(spark.sparkContext.broadcast((Automaton(items, window), _least(items, window))))
     fields = [docs.select(*keep).schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType())), T.StructField("kept", T.StringType())])
+    schema = T.StructType([*fields, T.StructField("__words", T.LongType()), T.StructField("__hit", T.LongType()), T.StructField("__items", T.ArrayType(T.LongType())), T.StructField("__kept", T.StringType())])
 
     def run(batches):
         for batch in batches:
@@ -213,8 +213,10 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the items themselves."""
     found = _scans(docs.select("doc_id", "text"), benchmark, window, ["doc_id"])
-    listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+    listed = F.array_join(F.array_sort(F.transform("__items", lambda x: x.cast("string"))), ",")
+    return found.select(
+        "doc_id", F.col("__words").alias("n_words"), F.col("__hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("__hit") > 0).alias("contaminated"), F.col("__items").alias("items")
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
@@ -222,7 +224,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     their words hit, or nothing left after the cut, are dropped. n_chars, where present, follows the new text."""
     columns = docs.columns
     found = _scans(docs, benchmark, window, columns)
-    kept = found.where((F.col("n_hit") == 0) | ((F.col("n_hit") < max_coverage * F.col("n_words")) & (F.length("kept") > 0)))
-    text = F.when(F.col("n_hit") > 0, F.col("kept")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("n_hit") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in columns else {})
+    hit = F.col("__hit") > 0
+    kept = found.where(~hit | ((F.col("__hit") < max_coverage * F.col("__words")) & (F.length("__kept") > 0)))
+    changed = {"text": F.when(hit, F.col("__kept")).otherwise(F.col("text"))}
+    if "n_chars" in columns:
+        changed["n_chars"] = F.when(hit, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
