@@ -5,8 +5,8 @@ bounded sample: the first `SAMPLE` labelled documents in hash order). It gives e
 over the domains, whatever source it came from. With n_i words, posterior p_i and rate r_i of document i,
 the expected token total of domain d is sum_i r_i n_i p_id. Rates are fitted by projected gradient on the
 least-squares distance of these totals from the targets (in the metric in which the documents' own
-second moments are the identity, so steps of length one converge): each step sums the totals over all
-documents, moves every rate by -p_i . s, and projects it to r_i >= 0. A rate depends on its document's
+second moments are the identity, so steps of length one converge, with momentum): each step sums the
+totals over all documents, moves every rate by -p_i . s, and projects it to r_i >= 0. A rate depends on its document's
 posterior and the few step vectors alone, so it is a column expression: nothing is joined or collected
 but one row of sums a step.
 
@@ -31,8 +31,8 @@ from .common import materialize
 SAMPLE = 10_000
 BUCKETS = 4_096
 EVIDENCE = 40
-ROUNDS = 40
-TOLERANCE = 1e-6
+ROUNDS = 60
+TOLERANCE = 1e-5
 
 
 def words_of(text: Column) -> Column:
@@ -91,17 +91,30 @@ def with_posteriors(docs: DataFrame, model: DomainModel, buckets: int = BUCKETS)
     return shared.select(*columns, "__n", F.transform("__e", lambda x: x / F.col("__t")).alias("__p"))
 
 
+def _moved(steps: list[list[float]], momentum: float = 0.0) -> Column:
+    """The point after the projected steps, carried on by `momentum` times the last change: an expression over
+    __p. A step is its own momentum followed by its vector."""
+    start = F.struct(F.lit(1.0).alias("now"), F.lit(1.0).alias("before"))
+
+    def step(s, v):
+        ahead = s["now"] + v[0] * (s["now"] - s["before"])
+        pull = F.aggregate(F.zip_with("__p", F.slice(v, 2, F.size(v)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        return F.struct(F.greatest(F.lit(0.0), ahead - pull).alias("now"), s["now"].alias("before"))
+
+    if not steps:
+        return F.lit(1.0)
+    spelled = ";".join(",".join(map(repr, v)) for v in steps)
+    vectors = F.transform(F.split(F.lit(spelled), ";"), lambda x: F.split(x, ",").cast("array<double>"))
+    return F.aggregate(vectors, start, step, lambda s: s["now"] + momentum * (s["now"] - s["before"]))
+
+
 def rate_of(steps: list[list[float]]) -> Column:
     """The rate after the projected steps, as an expression over __p."""
-    rate = F.lit(1.0)
-    for step in steps:
-        move = sum((F.col("__p")[k] * s for k, s in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+    return _moved(steps)
 
 
 def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """Step vectors of the projected gradient. members: __n, __p; targets: share of all tokens for each domain."""
+    """Steps of the accelerated projected gradient. members: __n, __p; targets: share of all tokens for each domain."""
     size = len(targets)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     p = [F.col("__p")[k] for k in range(size)]
@@ -114,12 +127,16 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, to
         moments[i, j] = moments[j, i] = x / whole
     scale = np.linalg.pinv(moments + 1e-9 * np.eye(size))
     steps: list[list[float]] = []
+    pace = 1.0
     for _ in range(rounds):
-        now = members.select("__n", "__p", rate_of(steps).alias("__r")).agg(*[F.sum(F.col("__n") * F.col("__r") * x) for x in p]).first()
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        momentum = (pace - 1) / faster if steps else 0.0
+        pace = faster
+        now = members.select("__n", "__p", _moved(steps, momentum).alias("__r")).agg(*[F.sum(F.col("__n") * F.col("__r") * x) for x in p]).first()
         off = np.array(list(now)) / whole - np.array(targets)
+        steps.append([momentum, *[round(float(x), 10) for x in scale @ off]])
         if np.abs(off).max() <= tolerance:
             break
-        steps.append([round(float(x), 10) for x in scale @ off])
     return steps
 
 

@@ -5,7 +5,7 @@ ordered thresholds. Features are the hashed different words of a text and their
 buckets of its shape (share of marks, of capitals, of repeated words, of table bars, mean word length,
 size). The fit uses a bounded sample of labelled rows (`SAMPLE` documents, the first in hash order of
 their ids, at most); features in fewer than `MIN_DOCS` of them, or whose documents' mean grade is within
-`SCREEN` standard errors of the overall mean, get no weight. Scoring reads every document.
+`SCREEN` standard errors of the overall mean (in a full sample), get no weight. Scoring reads every document.
 
 `graded` makes grades of the labels: low quality 0, toxic 1, else 2. A document is selected where
 P(grade > 1) is at least `KEEP`.
@@ -94,6 +94,7 @@ def fit(rows: list[tuple[int, np.ndarray]], penalty: float = PENALTY, steps: int
     docs = np.repeat(np.arange(len(rows)), sizes)
     mean, spread = grades.mean(), max(grades.std(), 1e-9)
     off = np.abs(np.bincount(codes, grades[docs], len(known)) / counts - mean) * np.sqrt(counts) / spread
+    screen = max(4.0, screen * min(1.0, len(rows) / SAMPLE) ** 0.5)  # the same effect shows less in fewer rows
     kept = (counts >= min(min_docs, max(1, len(rows) // 20))) & (counts < len(rows)) & (off >= screen)
     known, place = known[kept], np.cumsum(kept) - 1
     use = kept[codes]
