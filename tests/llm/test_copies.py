@@ -92,10 +92,43 @@ def test_empty_table(spark):
 
 
 def test_one_document_of_each_group_stays(spark):
-    rows = documents()
-    kept = [r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()]
-    want = slow_components({i: slow_fingerprint(t) for i, t, *_ in rows})
-    assert sorted(kept) == sorted(set(want.values()))
+    """Exact copies and copies with a few changed words go; different documents stay."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(400)] for _ in range(20)]
+    rows, group = [], {}
+    for k in range(100):
+        words = list(base[k % 20])
+        for _ in range(0 if k < 40 else 3):
+            words[rng.randrange(400)] = "changed"
+        rows.append((k, " ".join(words), "en", 1, 2))
+        group[k] = k % 20
+    rows += [(200, None, "en", 1, 2), (201, "", "en", 1, 2), (202, "a single line", "en", 1, 2), (3, rows[3][1], "en", 1, 2)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 3, *range(4, 20), 200, 202]
+
+
+def test_first_lane_is_the_fingerprint():
+    for t in (None, "a", "a b", "One two three four"):
+        assert int(simhash.wide_fingerprint(t)[0]) == simhash.fingerprint(t)
+
+
+def test_wide_links_match_brute_force(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 12)):
+            words[rng.randrange(150)] = f"new{rng.randrange(99)}"
+        rows.append((k, " ".join(words), "en", 1, 2))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, DOCS)).collect()}
+    prints = {k: simhash.wide_fingerprint(t) for k, t, *_ in rows}
+    far = lambda a, b: int(np.unpackbits((prints[a] ^ prints[b]).view(np.uint8)).sum())
+    for k, c in got.items():  # no link without a chain of close ones, and all almost equal ones linked
+        assert c == k or any(far(k, x) <= 128 for x, d in got.items() if d == c and x != k)
+    assert all(got[a] == got[b] for a in prints for b in prints if far(a, b) <= 31)
 
 
 def slow_line_dedup(rows, min_words):
