@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from .common import scratch_path
 
 END_ID = 1
-MEMO = 1_000_000
+MEMO = 600_000
 SLAB_BYTES = 4 << 20
 _LETTERS = "a-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
@@ -118,6 +118,16 @@ class Encoder:
         return pool[at], until[edges[1:]] - until[edges[:-1]]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process: its memo serves one task after another."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same ids with `end_id` after each document's."""
     out = np.empty(len(ids) + len(sizes), np.int32)
@@ -159,7 +169,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, start = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, start = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for a, b in slabs(texts):
