@@ -12,6 +12,7 @@ from ..operators.clean import clean_segments
 from ..operators.models import Model, restyle_beads, translate_segments
 from ..operators.pairing import pair_divisions
 from ..operators.segment import apply_range, divisions, segments
+from ..scratch import materialize
 
 BLOCK = ["book_id", "ch_idx"]
 
@@ -34,6 +35,7 @@ def build(
 
     jobs: book_id, src_lang, tgt_lang, mode, clean, src_text, tgt_text, src_range, tgt_range. `aligner` is a
     job's request (auto, embed, mt, gale-church); one call builds the jobs of one method and translator.
+    Divisions and pairs are written to the shared folder when called; beads are a plan over them.
     `encode` adds `vec` to a table with `text`, and makes divisions matched by meaning where counts differ.
     """
     langs = ["*"] if translator else []
@@ -41,7 +43,9 @@ def build(
     src, tgt = book_divisions(jobs, "src"), book_divisions(jobs, "tgt")
     if encode:
         src, tgt = (encode(d.withColumn("text", F.concat_ws("\n", "title", "body"))).drop("text") for d in (src, tgt))
-    pairs = pair_divisions(src, tgt, "book_id", by_meaning=encode is not None)
+    # each is read several times below; once written, a lost executor costs no new segmentation
+    src, tgt = materialize(src, "divisions-src"), materialize(tgt, "divisions-tgt")
+    pairs = materialize(pair_divisions(src, tgt, "book_id", by_meaning=encode is not None), "division-pairs")
     facts = jobs.select("book_id", "src_lang", "tgt_lang", "mode", "clean")
 
     def side(name: str) -> DataFrame:
@@ -77,3 +81,20 @@ def build_each(jobs: DataFrame, translators: dict[str, Model] | None = None, res
     if chapters is None:
         return build(jobs)
     return chapters, beads
+
+
+def run_jobs(jobs: DataFrame, build_one: Callable[[DataFrame], object]) -> list[tuple[int, str, str]]:
+    """(book_id, "done" or "error", message) of each job, built one after the other: a job that fails does
+    not stop the others. For few jobs with side effects; `build_each` builds many in one plan."""
+    status = []
+    for (book,) in jobs.select("book_id").distinct().orderBy("book_id").collect():
+        try:
+            build_one(jobs.where(F.col("book_id") == book))
+            status.append((book, "done", ""))
+        except Exception as error:  # noqa: BLE001 - reported in the status, whatever it is
+            status.append((book, "error", str(error)))
+    return status
+
+
+def exit_code(status: list[tuple[int, str, str]]) -> int:
+    return int(any(s != "done" for _, s, _ in status))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import urllib.parse
+import urllib.request
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The catalog's address and the seconds to wait for it.
+CATALOG, TIMEOUT = "https://gutendex.com/books", 20
 RESULT = "count long, next string, results array<struct<id:long,title:string,authors:array<struct<name:string>>,languages:array<string>,download_count:long,formats:map<string,string>>>"
 
 
@@ -25,3 +32,15 @@ def book(b: Column) -> dict[str, Column]:
         "downloads": F.coalesce(b["download_count"], F.lit(0)),
         "has_text": F.coalesce(F.exists(F.map_keys(b["formats"]), lambda k: F.startswith(k, F.lit("text/plain"))), F.lit(False)),
     }
+
+
+def search(spark: SparkSession, query: str, language: str | None = None, page: int = 1, get: Callable[[str], str] | None = None) -> DataFrame:
+    """Results of one page of a catalog search."""
+    parameters = {"search": query, "page": page} | ({"languages": language} if language else {})
+    url = f"{CATALOG}?{urllib.parse.urlencode(parameters)}"
+    if get is None:
+        with urllib.request.urlopen(url, timeout=TIMEOUT) as reply:
+            body = json.dumps(json.load(reply))
+    else:
+        body = get(url)
+    return parse_results(spark.createDataFrame([(body,)], "reply string"))
