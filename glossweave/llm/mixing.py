@@ -141,23 +141,23 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, to
 
 
 def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """The columns of `docs` and __n, __p, rate, copies; `targets` are the domains' weights of all tokens."""
+    """The columns of `docs` and __n, __p, __rate, __copies; `targets` are the domains' weights of all tokens."""
     wanted = {d: w for d, w in targets.items() if w >= 0}
     model = train(docs, labelled, sorted(wanted))
     if model is None:
-        return docs.select("*", F.size(words_of(docs["text"])).cast("double").alias("__n"), F.array(F.lit(1.0)).alias("__p"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+        return docs.select("*", F.size(words_of(docs["text"])).cast("double").alias("__n"), F.array(F.lit(1.0)).alias("__p"), F.lit(1.0).alias("__rate"), F.lit(1).cast("long").alias("__copies"))
     whole = sum(wanted[d] for d in model.domains) or 1.0
     scored = with_posteriors(docs, model)
     members = materialize(scored.select("__n", "__p"), "mixing-members")
     steps = fit_rates(members, [wanted[d] / whole for d in model.domains])
     rate = F.round(rate_of(steps), 6)
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    rates = scored.select("*", rate.alias("rate"))
-    return rates.select("*", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long").alias("copies"))
+    rates = scored.select("*", rate.alias("__rate"))
+    return rates.select("*", (F.floor("__rate") + (chance < F.col("__rate") - F.floor("__rate")).cast("int")).cast("long").alias("__copies"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The rows of `docs`, each as often as its rate asks, in the columns of `docs`."""
-    plain = docs.select(*docs.columns)
-    chosen = rated(plain, labelled, targets).where("copies > 0")
-    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    # an outer generator, so that no filter on the copies is pushed below and evaluates the classifier again
+    repeated = F.explode_outer(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
+    return rated(docs, labelled, targets).withColumn("__copy", repeated).where("__copy is not null").select(*docs.columns)

@@ -34,7 +34,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labelled = labelled_domains(docs, read_table(spark, sf_dir, "labels"))
     found = mixing.rated(docs.select("doc_id", "text"), labelled, MIX_TARGETS)
-    return found.select("doc_id", F.col("__n").cast("long").alias("n_tokens"), F.transform("__p", lambda x: F.round(x, 6)).alias("posteriors"), "rate", "copies")
+    return found.select("doc_id", F.col("__n").cast("long").alias("n_tokens"), F.transform("__p", lambda x: F.round(x, 6)).alias("posteriors"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
