@@ -119,7 +119,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of `docs` with later repeated runs cut from text, then n_lines, n_deleted. n_chars, where
-    present, follows the new text."""
+    present, follows the new text; columns named like the added ones give way."""
+    docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_deleted")])
     columns = docs.columns
     runs = repeated_runs(docs, min_words).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("__runs"))
     runs = runs.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "__runs")

@@ -136,8 +136,11 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, **options) -
     return fit([(g, np.sort(f)) for g, f in zip(rows["grade"].to_pylist(), (np.array(x.as_py(), np.int64) for x in rows["features"]), strict=True)], **options)
 
 
-def score(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> DataFrame:
-    """All columns of `docs` followed by expected_grade, p_ge1, p_ge2 and selected."""
+RESULTS = ("expected_grade", "p_ge1", "p_ge2", "selected")
+
+
+def _chances(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """The columns of `docs` and __p1, __p2: the chances of a grade over 0 and over 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("__p1", "__p2")]])
@@ -152,12 +155,17 @@ def score(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> DataFrame
             chances = [pa.array([1 / (1 + exp(-max(-40.0, min(40.0, s - t)))) for s in scores], pa.float64()) for t in (low, high)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], *chances], names=schema.names)
 
-    found = docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> DataFrame:
+    """The columns of `docs` but those named as in RESULTS, followed by RESULTS."""
+    columns = [c for c in docs.columns if c not in RESULTS]
     p1, p2 = F.round("__p1", 6), F.round("__p2", 6)
-    return found.select(*columns, F.round(F.col("__p1") + F.col("__p2"), 6).alias("expected_grade"), p1.alias("p_ge1"), p2.alias("p_ge2"), (p2 >= keep).alias("selected"))
+    return _chances(docs.select(*columns), model).select(*columns, F.round(F.col("__p1") + F.col("__p2"), 6).alias("expected_grade"), p1.alias("p_ge1"), p2.alias("p_ge2"), (p2 >= keep).alias("selected"))
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
     """The rows of `docs` that the classifier selects, in the columns of `docs`."""
-    plain = docs.select(*docs.columns)
-    return score(plain, train(docs, graded(labels), sample), keep).where("selected").select(*docs.columns)
+    model = train(docs, graded(labels), sample)
+    return _chances(docs, model).where(F.round("__p2", 6) >= keep).select(*docs.columns)

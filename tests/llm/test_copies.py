@@ -161,7 +161,7 @@ def test_line_dedup_matches_brute_force(spark):
     pool = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(25)]
     rows = [(k, "\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randint(0, 14)))) for k in range(60)]
     rows += [(70, None), (71, ""), (72, "\n\n"), (73, rows[4][1]), (74, pool[0] + "\n" + pool[0])]
-    data = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in rows], "doc_id long, text string, n_chars long, first string")
+    data = spark.createDataFrame([(i, t, len(t or ""), "x", 1) for i, t in rows], "doc_id long, text string, n_chars long, first string, n_lines int")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(data, 12).collect()}
     want = slow_line_dedup(rows, 12)
     for i, t in rows:

@@ -134,7 +134,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_quality_of_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, "", "b"), (None, "x", "c")], "doc_id long, text string, selected0 string")
+    docs = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, "", "b"), (None, "x", "c")], "doc_id long, text string, selected string")
     none = quality.graded(spark.createDataFrame([(9, None, 1)], "doc_id long, quality int, toxic int"))
     assert quality.score(docs, quality.train(docs, none)).where("selected").count() == 4
     two = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
@@ -151,7 +151,7 @@ TARGETS = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
 def test_expected_totals_meet_the_targets(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
     labelled = labelled_domains(docs, read_table(spark, "/root/testdata/sf0.01", "labels"))
-    rows = mixing.rated(docs, labelled, TARGETS).select("doc_id", "lang", "__n", "__p", "rate", "copies").collect()
+    rows = mixing.rated(docs, labelled, TARGETS).select("doc_id", "lang", "__n", "__p", F.col("__rate").alias("rate"), F.col("__copies").alias("copies")).collect()
     whole = sum(r["__n"] for r in rows)
     totals = np.sum([np.array(r["__p"]) * r["__n"] * r.rate for r in rows], axis=0) / whole
     assert np.abs(totals - np.array([TARGETS[d] for d in sorted(TARGETS)])).max() < 1e-4
@@ -176,7 +176,7 @@ def test_rates_are_nonnegative_and_optimal(spark):
 
 
 def test_mix_of_odd_rows(spark):
-    schema = "doc_id long, text string, rate0 string, lang string"
+    schema = "doc_id long, text string, rate string, lang string"
     docs = spark.createDataFrame([(1, "the cat", "a", "en"), (2, "die katze", "b", "de"), (3, None, "c", None), (3, None, "c", None), (4, "", "d", "xx")], schema)
     labelled = docs.select("doc_id", F.col("lang").alias("domain"))
     assert mixing.mix(docs, labelled, {"en": 0.5, "de": 0.5}).columns == docs.columns
