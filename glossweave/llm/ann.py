@@ -2,8 +2,8 @@
 
 Centroids are fitted by k-means on a bounded sample (`SAMPLE` vectors, the first in hash order, and at most
 `SAMPLE_BYTES` of them). Every vector goes to the list of its nearest centroid; boundary vectors, whose
-next centroids are nearly as near, are replicated to up to `COPIES` lists (a centroid that lies nearer to
-one already chosen than to the vector is passed over). A query finds its centroids by best-first search
+next centroids are nearly as near, are replicated to up to `COPIES` lists (a centroid that lies close to one
+already chosen, within `APART` of its distance to the vector, is passed over). A query finds its centroids by best-first search
 in an in-memory neighbour graph over them, and searches the lists whose centroid is within (1 + `PRUNE`)
 times the nearest one's distance. Lists are dealt into chunks of about `CHUNK` vectors, so a large list
 or a large group of queries for one list is many tasks.
@@ -37,8 +37,9 @@ MOST_LISTS = 4_096
 CHUNK = 4_096
 QUERIES = 1_024
 COPIES = 4
-BOUNDARY = 0.08
-PRUNE = 0.12
+BOUNDARY = 0.03
+APART = 0.3
+PRUNE = 0.1
 LEAST_LISTS = 8
 NEIGHBOURS = 16
 BEAM = 64
@@ -131,7 +132,7 @@ def assign(vectors: np.ndarray, centres: np.ndarray, boundary: float = BOUNDARY,
             for j in ids[1:]:
                 if row[j] > limit or len(chosen) == copies:
                     break
-                if all(between[j, i] >= row[j] for i in chosen):
+                if all(between[j, i] >= APART * row[j] for i in chosen):
                     chosen.append(int(j))
             out.append(chosen)
     return out
