@@ -39,7 +39,7 @@ QUERIES = 1_024
 COPIES = 4
 BOUNDARY = 0.03
 APART = 0.3
-PRUNE = 0.1
+PRUNE = 0.12
 LEAST_LISTS = 8
 NEIGHBOURS = 16
 BEAM = 64
