@@ -13,14 +13,15 @@ different fingerprints, and all that share it link to each other, so linking eac
 keeps the components. That is linear in the bucket's size and exact (it holds for `max_bits` = 2; for
 other radii the bucket is split by further blocks, see `_refined`).
 
-`near_copies` is the same method at a lower similarity, for corpus stages: 64-bit fingerprints differ in
-two bits at most only where texts are almost equal, so it takes `LANES` fingerprints of 64 bits (each lane
-mixes the shingle hashes anew), whose 32-bit halves are the blocks. Texts that share a block are held
-against the least fingerprint of that block, and linked where the whole fingerprints differ in at most
-`FAR` of their bits, which is where 5-word shingles have a similarity of about 0.8. Each fingerprint makes
-one row a block and one candidate a block at most, however many share it. Pairs within 31 bits of all
-share a block for certain; beyond, the chance is 1 - (1 - (1 - d)^32)^32 at a share d of differing bits
-(0.98 at 0.065, 0.87 at 0.083, 0.45 at 0.117), and a group's other members link it too.
+`near_copies` serves corpus stages, which ask for a similarity of 0.8: of such pairs few are within two bits,
+and no block scheme over fingerprints is sure to meet the rest. It links two texts exactly if the Jaccard
+similarity of their sets of 5-word shingles is `SIMILAR` or more. Equal sets collapse first. Shingles are put
+into one order for all texts (by hash, those frequent in a sample last, which decides the cost but not the
+result). Two sets of that similarity share one of the first n - ceil(0.8 n) + 1 shingles of each, and two of
+the first n - ceil(0.8 n) + 2. A shingle shared by up to `small_bucket` texts makes all their pairs. In a
+larger bucket each text is held against one of them, which joins a group of copies in linear time; then a
+bucket not joined as a whole is split by the second shared shingle, and all pairs not joined yet are made. Every pair of nearly
+equal sizes is verified on the full sets.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows share
 a fingerprint, hence a component; a null doc_id never names a component unless it has no other; an empty
@@ -46,7 +47,13 @@ MAX_BITS = 2
 SMALL_BUCKET = 64
 _SLAB = 1 << 16
 LANES = 16
-FAR = 0.125
+COPY_SHINGLE = 5
+SIMILAR = 0.8
+_SAMPLE = 16
+_OFTEN = 3
+_FREQUENT = 1 << 16
+_LEADERS = 4
+_EPSILON = 1e-9
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -173,38 +180,132 @@ def wide_fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = LANE
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def near_copies(docs: DataFrame, far: float = FAR, shingle: int = SHINGLE, lanes: int = LANES) -> DataFrame:
-    """doc_id, component_id: the smallest doc_id that links of wide fingerprints reach."""
+def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending; a text with fewer words is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(min(shingle, len(words)))), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), "<u8"))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)])
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles frequent in a sample of the texts, at most `_FREQUENT`, ascending."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], ["h"])
+
+    sample = texts.where(F.pmod("tie", F.lit(_SAMPLE)) == 0).groupBy("tie").agg(F.min("text").alias("text")).select("text")
+    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= _OFTEN)
+    found = counts.orderBy(F.desc("n"), "h").limit(_FREQUENT).select("h").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _prefixes(texts: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """doc_id, tie, fp (hash of the set), n (its size), p, prefix: the first p + 1 shingles in the common order."""
+    last = _frequent(texts, shingle)
 
     def run(batches):
         for batch in batches:
-            found = [wide_fingerprint(t, shingle, lanes).view(np.int64) for t in batch.column(1).to_pylist()]
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, lanes), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "fps"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = texts.mapInArrow(run, "doc_id long, fps array<long>").withColumn("fp", F.xxhash64("fps"))
-    prints = materialize(prints, "copies-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("fps").alias("fps")), "copies-nodes")
-    halves = F.flatten(F.transform("fps", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))
-    keys = nodes.select("fp", F.posexplode(halves).alias("k", "v"))
-    least = keys.groupBy("k", "v").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("k", "v", "a")
-    least = materialize(least, "copies-least")  # so that both sides are shuffled plainly and a hot one can be split
-    pairs = materialize(keys.join(least, ["k", "v"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct(), "copies-pairs")
-    side = lambda c: nodes.select(F.col("fp").alias(c), F.col("fps").alias(f"{c}_fps"))
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            firsts = sizes - np.ceil(similar * sizes - _EPSILON).astype(np.int64) + 1
+            heads = []
+            for x, p in zip(sets, firsts, strict=True):
+                often = np.isin(x, last, assume_unique=True)
+                heads.append(np.concatenate([x[~often][: p + 1], x[often]])[: p + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array(sizes), pa.array(firsts), _lists(heads)], ["doc_id", "tie", "fp", "n", "p", "prefix"])
+
+    return texts.mapInArrow(run, "doc_id long, tie long, fp long, n long, p long, prefix array<long>")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """The pairs whose prefixes allow the similarity: beyond these, the set whose prefix ends first has only its rest to share."""
+    side = lambda c: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"{c}n"), F.col("prefix").alias(f"{c}p"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    edges = both.where(apart <= int(far * 64 * lanes)).select("a", "b")
+    rest = F.greatest(F.col("an") - F.size("ap"), F.col("bn") - F.size("bp"))
+    most = F.least(F.size(F.array_intersect("ap", "bp")) + rest, "an", "bn")
+    return both.where((1 + similar) * most + _EPSILON >= similar * (F.col("an") + F.col("bn"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """The pairs a, b whose full sets are similar."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t, shingle) for t in batch.column(1).to_pylist()])], ["fp", "hashes"])
+
+    pairs = materialize(_possible(materialize(pairs.distinct(), "copies-candidates"), nodes, similar), "copies-pairs")
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    chosen = nodes.select("fp", "rep.*").join(ends, "fp", "left_semi").select("fp", F.col("doc_id").alias("d"), F.col("tie").alias("t"))
+    held = texts.join(chosen, (F.col("tie") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).groupBy("fp").agg(F.min("text").alias("text"))
+    sets = materialize(held.select("fp", "text").mapInArrow(run, "fp long, hashes array<long>"), "copies-sets")
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"{c}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return materialize(both.where(shared + _EPSILON >= similar * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b"), "copies-edges")
+
+
+def _copy_edges(nodes: DataFrame, texts: DataFrame, similar: float, shingle: int, small_bucket: int) -> DataFrame:
+    """Edges a, b between nodes that keep all components of the pairs that are similar."""
+    keys = nodes.select("fp", "n", F.explode(F.expr("slice(prefix, 1, cast(p as int))")).alias("v"))
+    counts = materialize(keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "copies-counts")
+    shared = materialize(keys.join(counts, "v"), "copies-shared")  # so that both sides are shuffled plainly and a hot one can be split
+    sized = F.least("an", "bn") + _EPSILON >= similar * F.greatest("an", "bn")
+
+    def paired(rows: DataFrame, on: list[str], also) -> DataFrame:
+        side = lambda c: rows.select(*on, F.col("fp").alias(c), F.col("n").alias(f"{c}n"), F.col("root").alias(f"{c}r"))
+        return side("a").join(side("b"), on).where((F.col("a") < F.col("b")) & sized & also).select("a", "b")
+
+    few = shared.where(F.col("m") <= small_bucket).withColumn("root", F.col("fp"))
+    many = shared.where(F.col("m") > small_bucket)
+    leaders = materialize(many.groupBy("v").agg(F.min_by("fp", F.xxhash64("fp", F.pmod("v", F.lit(_LEADERS)))).alias("a")), "copies-leaders")
+    leading = many.join(leaders, "v").where("fp <> a").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
+    edges = _verified(paired(few, ["v"], F.lit(True)).unionByName(leading), nodes, texts, similar, shingle)
+    if many.isEmpty():
+        return edges
+    roots = connected_components(edges).withColumnRenamed("node", "fp")
+
+    def mixed(rows: DataFrame, on: list[str]) -> DataFrame:
+        some = rows.groupBy(*on).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*on)
+        return materialize(rows.join(materialize(some, "copies-mixed"), on), "copies-split")
+
+    rest = many.select("v", "fp", "n").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rest = mixed(rest, ["v"]).join(nodes.select("fp", "prefix"), "fp")
+    split = mixed(rest.select("v", "fp", "n", "root", F.explode("prefix").alias("w")).where("v <> w"), ["v", "w"])
+    return edges.unionByName(_verified(paired(split, ["v", "w"], F.col("ar") != F.col("br")), nodes, texts, similar, shingle))
+
+
+def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = COPY_SHINGLE, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id that links of texts with that Jaccard similarity reach."""
+    return _grouped(docs, similar, shingle, small_bucket).select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, similar: float, shingle: int, small_bucket: int) -> DataFrame:
+    """doc_id, tie (hash of the text) of every row; first: the least (doc_id, tie) of its component, nulls last."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
+    prints = materialize(_prefixes(texts, similar, shingle), "copies-prints")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")).alias("rep")
+    nodes = materialize(prints.groupBy("fp").agg(rep, F.min("n").alias("n"), F.min("p").alias("p"), F.min("prefix").alias("prefix")), "copies-nodes")
+    edges = _copy_edges(nodes, texts, similar, shingle, small_bucket)
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     named = materialize(nodes.select("fp", "rep").join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "copies-named")
-    first = materialize(named.groupBy("root").agg(F.min("rep").alias("component_id")), "copies-first")
-    classes = materialize(named.join(first, "root").select("fp", "component_id"), "copies-classes")
-    return prints.join(classes, "fp").select("doc_id", "component_id")
+    first = materialize(named.groupBy("root").agg(F.min("rep").alias("first")), "copies-first")
+    classes = materialize(named.join(first, "root").select("fp", "first"), "copies-classes")
+    return prints.select("doc_id", "tie", "fp").join(classes, "fp").select("doc_id", "tie", "first")
 
 
-def drop_near_duplicates(docs: DataFrame, far: float = FAR, shingle: int = SHINGLE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = COPY_SHINGLE) -> DataFrame:
     """The rows of `docs` whose doc_id names its component of `near_copies`; of repeated rows with that
     doc_id all stay alike."""
-    found = near_copies(docs, far, shingle).where("doc_id = component_id").select("doc_id").distinct()
+    found = near_copies(docs, similar, shingle).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").select(docs.columns)

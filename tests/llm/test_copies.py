@@ -131,6 +131,44 @@ def test_wide_links_match_brute_force(spark):
     assert all(got[a] == got[b] for a in prints for b in prints if far(a, b) <= 31)
 
 
+def slow_copies(rows, similar=0.8):
+    """Components of all pairs by the Jaccard similarity of 5-word shingles."""
+    def grams(text):
+        words = text.lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    sets = {k: grams(t) for k, t, *_ in rows}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]):
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    return {k: find(k) for k in sets}
+
+
+@pytest.mark.parametrize("bucket", [64, 3])
+def test_copies_among_strangers_with_a_shared_passage(spark, bucket):
+    """Pairs of copies link whatever else shares their passage, in small buckets and in large ones."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = []
+    for k in range(40):
+        own = [f"o{rng.randrange(5000)}" for _ in range(rng.randint(20, 90))]
+        rows.append((2 * k, " ".join([passage, *own]), "en", 1, 2))
+        own[rng.randrange(len(own))] = "changed"
+        rows.append((2 * k + 1, " ".join([passage, *own]), "en", 1, 2))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, DOCS), small_bucket=bucket).collect()}
+    assert got == slow_copies(rows)
+
+
 def slow_line_dedup(rows, min_words):
     """Every run of every document against all that stand earlier."""
     parsed = []
