@@ -169,6 +169,22 @@ def test_copies_among_strangers_with_a_shared_passage(spark, bucket):
     assert got == slow_copies(rows)
 
 
+def test_copies_match_brute_force_at_the_similarity(spark):
+    """Pairs on both sides of 0.8, most of them far beyond what any block of a fingerprint shares."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(100, 300))]
+        rows.append((2 * k, " ".join(words), "en", 1, 2))
+        for at in rng.sample(range(len(words)), round(len(words) * rng.uniform(0.012, 0.028))):
+            words[at] = f"new{rng.randrange(999)}"
+        rows.append((2 * k + 1, " ".join(words), "en", 1, 2))
+    want = slow_copies(rows)
+    assert 15 < sum(k != c for k, c in want.items()) < 55
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 def slow_line_dedup(rows, min_words):
     """Every run of every document against all that stand earlier."""
     parsed = []
