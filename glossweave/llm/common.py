@@ -17,11 +17,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own where none is set."""
+    """The shared folder named by spark.checkpoint.dir. Where none is set, a local master gets a folder of its
+    own; on a cluster that is an error, since executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glossweave-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -44,5 +47,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def internal(df: DataFrame, label: str) -> str:
+    """A column name made of `label` that no column of `df` has, whatever case names are compared in."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{label}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

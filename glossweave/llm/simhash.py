@@ -13,19 +13,22 @@ different fingerprints, and all that share it link to each other, so linking eac
 keeps the components. That is linear in the bucket's size and exact (it holds for `max_bits` = 2; for
 other radii the bucket is split by further blocks, see `_refined`).
 
-`near_copies` serves corpus stages, which ask for a similarity of 0.8: of such pairs few are within two bits,
-and no block scheme over fingerprints is sure to meet the rest. It links two texts exactly if the Jaccard
-similarity of their sets of 5-word shingles is `SIMILAR` or more. Equal sets collapse first. Shingles are put
-into one order for all texts (by hash, those frequent in a sample last, which decides the cost but not the
-result). Two sets of that similarity share one of the first n - ceil(0.8 n) + 1 shingles of each, and two of
-the first n - ceil(0.8 n) + 2. A shingle shared by up to `small_bucket` texts makes all their pairs. In a
-larger bucket each text is held against one of them, which joins a group of copies in linear time; then a
-bucket not joined as a whole is split by the second shared shingle, and all pairs not joined yet are made. Every pair of nearly
-equal sizes is verified on the full sets.
+`near_copies` serves corpus stages, which ask for a similarity of 0.8 by 5-word shingles; such texts differ in
+about 15 % of the bits, far beyond two of 64. So the fingerprint has LANES words of 64 bits over the set of
+shingles. In each of `tables` fixed permutations its bits are split into blocks of `block_bits`, and texts that
+share a block are candidates. A pair within FAR bits is verified; one within SURE is a link as it stands, for
+the others the Jaccard similarity of the sets decides, so no link is below `similar`. At exactly 0.8 a pair
+shares none of the blocks with a chance of about 0.6 %, at 0.85 of 1 in 100,000 (sets of a few shingles more often).
+The chance that strangers share a block falls by half with each bit of `block_bits`.
+
+A group of copies joins in linear time: in each bucket all members are held against one, twice (first one by
+hash, then the one with most links). What is left are buckets that hold different components. Small ones make
+all their pairs between components; large ones (over `small_bucket`) do so where a second block is shared too.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows share
 a fingerprint, hence a component; a null doc_id never names a component unless it has no other; an empty
-table gives an empty result; other columns of the input are ignored.
+table gives an empty result; other columns of the input are ignored by the queries and kept by
+`drop_near_duplicates`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import internal, materialize
 from .components import connected_components
 
 SEED = 42
@@ -49,10 +52,11 @@ _SLAB = 1 << 16
 LANES = 16
 COPY_SHINGLE = 5
 SIMILAR = 0.8
-_SAMPLE = 16
-_OFTEN = 3
-_FREQUENT = 1 << 16
-_LEADERS = 4
+BLOCK_BITS = 22
+TABLES = 4
+FAR = 224
+SURE = 90
+_LEAST_SET = 4  # smaller sets are similar only if they are equal
 _EPSILON = 1e-9
 
 
@@ -153,33 +157,6 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """The hashes of a lane: lane 0 has them as they are, the others through a 64-bit finaliser."""
-    if not lane:
-        return hashes
-    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = LANES) -> np.ndarray:
-    """`lanes` words of 64 bits; the first is `fingerprint`."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(lanes, np.uint64)
-    grams = map(b" ".join, zip(*(words[k:] for k in range(min(shingle, len(words)))), strict=False))
-    n, counts = 0, np.zeros((lanes, 64), np.int64)
-    digest = xxhash.xxh64_intdigest
-    while size := len(some := [digest(g, SEED) for g in islice(grams, _SLAB)]):
-        hashes = np.array(some, "<u8")
-        for lane in range(lanes):
-            bits = np.unpackbits(_mixed(hashes, lane).view(np.uint8).reshape(size, 8), axis=1, bitorder="little")
-            counts[lane] += np.add.reduce(bits, axis=0, dtype=np.int32)
-        n += size
-    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
-
-
 def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     """The distinct shingle hashes of a text, ascending; a text with fewer words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -189,114 +166,160 @@ def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), "<u8"))
 
 
+_STEPS = (np.arange(LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
+_ROWS = 255  # sums of so many bits fit a byte
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """(n, LANES): the hashes, in lane 0 as they are, in the others through a 64-bit finaliser."""
+    x = hashes[:, None] + _STEPS
+    y = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    y = (y ^ (y >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    y[:, 0] = hashes
+    return y
+
+
+def _wide(hashes: np.ndarray) -> np.ndarray:
+    """LANES words of 64 bits: a bit is 1 if it is set in more than half the hashes of its lane."""
+    counts = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(hashes), _ROWS):
+        bits = np.unpackbits(_mixed(hashes[at : at + _ROWS]).view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def wide_fingerprint(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The wide fingerprint over all shingles of a text, repeats included; its first word is `fingerprint`."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = map(b" ".join, zip(*(words[k:] for k in range(min(shingle, len(words)))), strict=False))
+    return _wide(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), "<u8"))
+
+
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, sets)])
     flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles frequent in a sample of the texts, at most `_FREQUENT`, ascending."""
-
-    def run(batches):
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], ["h"])
-
-    sample = texts.where(F.pmod("tie", F.lit(_SAMPLE)) == 0).groupBy("tie").agg(F.min("text").alias("text")).select("text")
-    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= _OFTEN)
-    found = counts.orderBy(F.desc("n"), "h").limit(_FREQUENT).select("h").toArrow().column(0).to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+_WORDS = [f"f{k}" for k in range(LANES)]
 
 
-def _prefixes(texts: DataFrame, similar: float, shingle: int) -> DataFrame:
-    """doc_id, tie, fp (hash of the set), n (its size), p, prefix: the first p + 1 shingles in the common order."""
-    last = _frequent(texts, shingle)
+def _prints(texts: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, tie, fp (hash of the shingle set), n (its size), f0 and so on (the wide fingerprint)."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
             fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            sizes = np.array([len(x) for x in sets], np.int64)
-            firsts = sizes - np.ceil(similar * sizes - _EPSILON).astype(np.int64) + 1
-            heads = []
-            for x, p in zip(sets, firsts, strict=True):
-                often = np.isin(x, last, assume_unique=True)
-                heads.append(np.concatenate([x[~often][: p + 1], x[often]])[: p + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array(sizes), pa.array(firsts), _lists(heads)], ["doc_id", "tie", "fp", "n", "p", "prefix"])
+            wide = np.array([_wide(x) for x in sets], np.uint64).reshape(len(sets), LANES).view(np.int64)
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), sizes, *[pa.array(np.ascontiguousarray(w)) for w in wide.T]], ["doc_id", "tie", "fp", "n", *_WORDS])
+
+    return texts.mapInArrow(run, "doc_id long, tie long, fp long, n long, " + ", ".join(f"{w} long" for w in _WORDS))
 
-    return texts.mapInArrow(run, "doc_id long, tie long, fp long, n long, p long, prefix array<long>")
 
+def _block_keys(nodes: DataFrame, block_bits: int, tables: int) -> DataFrame:
+    """fp, key: one row for each block of each table; a table is a fixed permutation of the bits cut into blocks."""
+    total = 64 * LANES
+    blocks = total // block_bits
+    orders = np.stack([np.random.default_rng(SEED + t).permutation(total)[: blocks * block_bits] for t in range(tables)])
+    places = (np.arange(tables * blocks, dtype=np.int64) << block_bits)[None]
+    powers = 1 << np.arange(block_bits, dtype=np.int64)
 
-def _possible(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
-    """The pairs whose prefixes allow the similarity: beyond these, the set whose prefix ends first has only its rest to share."""
-    side = lambda c: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"{c}n"), F.col("prefix").alias(f"{c}p"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    rest = F.greatest(F.col("an") - F.size("ap"), F.col("bn") - F.size("bp"))
-    most = F.least(F.size(F.array_intersect("ap", "bp")) + rest, "an", "bn")
-    return both.where((1 + similar) * most + _EPSILON >= similar * (F.col("an") + F.col("bn"))).select("a", "b")
+    def run(batches):
+        for batch in batches:
+            wide = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1) if batch.num_rows else np.zeros((0, LANES), np.int64)
+            ids = batch.column(0).to_numpy()
+            for at in range(0, len(ids), 512):
+                bits = np.unpackbits(np.ascontiguousarray(wide[at : at + 512]).view(np.uint8), axis=1, bitorder="little")
+                values = bits[:, orders.ravel()].reshape(len(bits), tables * blocks, block_bits) @ powers
+                keys = (values | places).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 512], tables * blocks)), pa.array(keys)], ["fp", "key"])
+
+    return nodes.select("fp", *_WORDS).mapInArrow(run, "fp long, key long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float, shingle: int) -> DataFrame:
-    """The pairs a, b whose full sets are similar."""
+    """Of the pairs a, b those within the Hamming radius and similar: a distance of SURE bits or less is proof,
+    beyond that the shingle sets are compared."""
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t, shingle) for t in batch.column(1).to_pylist()])], ["fp", "hashes"])
 
-    pairs = materialize(_possible(materialize(pairs.distinct(), "copies-candidates"), nodes, similar), "copies-pairs")
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    side = lambda c: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"{c}n"), *[F.col(w).alias(f"{c}{w}") for w in _WORDS])
+    bits = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in _WORDS), F.lit(0))
+    sized = F.least("an", "bn") + _EPSILON >= similar * F.greatest("an", "bn")
+    left = pairs.distinct().join(side("a"), "a")
+    close = materialize(left.join(side("b"), "b").where(sized & (bits <= FAR)).select("a", "b", bits.alias("bits")), "copies-close")
+    unsure = close.where(F.col("bits") > SURE).select("a", "b")
+    ends = unsure.select(F.col("a").alias("fp")).unionByName(unsure.select(F.col("b").alias("fp"))).distinct()
     chosen = nodes.select("fp", "rep.*").join(ends, "fp", "left_semi").select("fp", F.col("doc_id").alias("d"), F.col("tie").alias("t"))
     held = texts.join(chosen, (F.col("tie") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).groupBy("fp").agg(F.min("text").alias("text"))
     sets = materialize(held.select("fp", "text").mapInArrow(run, "fp long, hashes array<long>"), "copies-sets")
-    side = lambda c: sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"{c}_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    of = lambda c: sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"{c}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    return materialize(both.where(shared + _EPSILON >= similar * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b"), "copies-edges")
+    equal = unsure.join(of("a"), "a").join(of("b"), "b").where(shared + _EPSILON >= similar * (F.size("a_set") + F.size("b_set") - shared))
+    return materialize(close.where(F.col("bits") <= SURE).select("a", "b").unionByName(equal.select("a", "b")), "copies-edges")
 
 
-def _copy_edges(nodes: DataFrame, texts: DataFrame, similar: float, shingle: int, small_bucket: int) -> DataFrame:
-    """Edges a, b between nodes that keep all components of the pairs that are similar."""
-    keys = nodes.select("fp", "n", F.explode(F.expr("slice(prefix, 1, cast(p as int))")).alias("v"))
-    counts = materialize(keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "copies-counts")
-    shared = materialize(keys.join(counts, "v"), "copies-shared")  # so that both sides are shuffled plainly and a hot one can be split
-    sized = F.least("an", "bn") + _EPSILON >= similar * F.greatest("an", "bn")
+def _ordered(a, b):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
 
-    def paired(rows: DataFrame, on: list[str], also) -> DataFrame:
-        side = lambda c: rows.select(*on, F.col("fp").alias(c), F.col("n").alias(f"{c}n"), F.col("root").alias(f"{c}r"))
-        return side("a").join(side("b"), on).where((F.col("a") < F.col("b")) & sized & also).select("a", "b")
-
-    few = shared.where(F.col("m") <= small_bucket).withColumn("root", F.col("fp"))
-    many = shared.where(F.col("m") > small_bucket)
-    leaders = materialize(many.groupBy("v").agg(F.min_by("fp", F.xxhash64("fp", F.pmod("v", F.lit(_LEADERS)))).alias("a")), "copies-leaders")
-    leading = many.join(leaders, "v").where("fp <> a").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
-    edges = _verified(paired(few, ["v"], F.lit(True)).unionByName(leading), nodes, texts, similar, shingle)
-    if many.isEmpty():
-        return edges
+def _copy_edges(nodes: DataFrame, texts: DataFrame, similar: float, shingle: int, small_bucket: int, block_bits: int, tables: int) -> DataFrame:
+    """Edges a, b that keep the components of the similar pairs that share a block."""
+    keys = _block_keys(nodes.where(F.col("n") >= _LEAST_SET), block_bits, tables)
+    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "copies-counts")
+    shared = materialize(keys.join(counts, "key"), "copies-shared")  # so that both sides are shuffled plainly and a hot one can be split
+
+    def led(rows: DataFrame, rank) -> DataFrame:
+        """Each member of a bucket with the member of the least rank."""
+        first = materialize(rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "fp")).alias("first")).select("key", F.col("first.fp").alias("first")), "copies-leaders")
+        return rows.join(first, "key").where("fp <> first").select(*_ordered("fp", "first")).distinct()
+
+    edges = _verified(led(shared, F.xxhash64("fp")), nodes, texts, similar, shingle)
+    # once more with the member that has most links, which is nearest to the centre of its group
+    links = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg((-F.count("*")).alias("links"))
+    linked = materialize(shared.join(materialize(links, "copies-links"), "fp", "left").select("key", "fp", "m", F.coalesce("links", F.lit(0)).alias("links")), "copies-linked")
+    edges = edges.unionByName(_verified(led(linked, F.col("links")).join(edges, ["a", "b"], "left_anti"), nodes, texts, similar, shingle))
     roots = connected_components(edges).withColumnRenamed("node", "fp")
 
     def mixed(rows: DataFrame, on: list[str]) -> DataFrame:
-        some = rows.groupBy(*on).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*on)
+        """The rows of buckets that hold different components."""
+        some = rows.groupBy(*on).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select(*on, "size")
         return materialize(rows.join(materialize(some, "copies-mixed"), on), "copies-split")
 
-    rest = many.select("v", "fp", "n").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rest = mixed(rest, ["v"]).join(nodes.select("fp", "prefix"), "fp")
-    split = mixed(rest.select("v", "fp", "n", "root", F.explode("prefix").alias("w")).where("v <> w"), ["v", "w"])
-    return edges.unionByName(_verified(paired(split, ["v", "w"], F.col("ar") != F.col("br")), nodes, texts, similar, shingle))
+    def paired(rows: DataFrame, on: list[str]) -> DataFrame:
+        side = lambda c: rows.select(*on, F.col("fp").alias(c), F.col("root").alias(f"{c}r"), F.col("n").alias(f"{c}n"))
+        sized = F.least("an", "bn") + _EPSILON >= similar * F.greatest("an", "bn")
+        return side("a").join(side("b"), on).where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & sized).select("a", "b")
+
+    sizes = nodes.select("fp", "n")
+    rest = mixed(shared.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), ["key"]).join(sizes, "fp")
+    few, many = rest.where(F.col("size") <= small_bucket), rest.where(F.col("size") > small_bucket)
+    pairs = paired(few, ["key"])
+    if not many.isEmpty():  # large buckets are split by a second block
+        others = keys.join(many.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("key").alias("other"))
+        split = many.select("key", "fp", "root", "n").join(others, "fp").where("key <> other")
+        pairs = pairs.unionByName(paired(mixed(split, ["key", "other"]), ["key", "other"]))
+    tested = edges.select("a", "b")
+    return edges.unionByName(_verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), nodes, texts, similar, shingle))
 
 
-def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = COPY_SHINGLE, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = COPY_SHINGLE, small_bucket: int = SMALL_BUCKET, block_bits: int = BLOCK_BITS, tables: int = TABLES) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links of texts with that Jaccard similarity reach."""
-    return _grouped(docs, similar, shingle, small_bucket).select("doc_id", F.col("first.doc_id").alias("component_id"))
+    return _grouped(docs, similar, shingle, small_bucket, block_bits, tables).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
-def _grouped(docs: DataFrame, similar: float, shingle: int, small_bucket: int) -> DataFrame:
-    """doc_id, tie (hash of the text) of every row; first: the least (doc_id, tie) of its component, nulls last."""
+def _grouped(docs: DataFrame, similar: float, shingle: int, small_bucket: int, block_bits: int, tables: int) -> DataFrame:
+    """doc_id, tie (hash of the text) of every row; first: the least (unnamed, doc_id, tie) of its component, null ids last."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
-    prints = materialize(_prefixes(texts, similar, shingle), "copies-prints")
+    prints = materialize(_prints(texts, shingle), "copies-prints")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")).alias("rep")
-    nodes = materialize(prints.groupBy("fp").agg(rep, F.min("n").alias("n"), F.min("p").alias("p"), F.min("prefix").alias("prefix")), "copies-nodes")
-    edges = _copy_edges(nodes, texts, similar, shingle, small_bucket)
+    nodes = materialize(prints.groupBy("fp").agg(rep, F.min("n").alias("n"), *[F.min(w).alias(w) for w in _WORDS]), "copies-nodes")
+    edges = _copy_edges(nodes, texts, similar, shingle, small_bucket, block_bits, tables)
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     named = materialize(nodes.select("fp", "rep").join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "copies-named")
     first = materialize(named.groupBy("root").agg(F.min("rep").alias("first")), "copies-first")
@@ -305,7 +328,15 @@ def _grouped(docs: DataFrame, similar: float, shingle: int, small_bucket: int) -
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """The rows of `docs` whose doc_id names its component of `near_copies`; of repeated rows with that
-    doc_id all stay alike."""
-    found = near_copies(docs, similar, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near copies, in the columns of `docs`: the one with the smallest doc_id, then
+    the least hash of its text. Rows that agree in both are one document and stay alike. Only where no text of a
+    group has a doc_id, a row without one stays, and then a single one."""
+    classes = _grouped(docs, similar, shingle, SMALL_BUCKET, BLOCK_BITS, TABLES)
+    chosen = materialize(classes.select("first.*").distinct(), "copies-kept")
+    tie = internal(docs, "tie")
+    keyed = docs.withColumn(tie, F.xxhash64(F.col("text").cast("string")))
+    name = lambda unnamed: chosen.where(F.col("unnamed") == unnamed).select(F.col("doc_id").alias(f"{tie}d"), F.col("tie").alias(f"{tie}t"))
+    text = F.col(f"{tie}t") == F.col(tie)
+    named = keyed.join(name(False), text & (F.col(f"{tie}d") == F.col("doc_id").cast("long")), "left_semi").select(docs.columns)
+    others = keyed.where("doc_id is null").join(name(True), text, "left_semi").groupBy(tie).agg(F.first(F.struct(*docs.columns)).alias(f"{tie}r"))
+    return named.unionByName(others.select(f"{tie}r.*"))

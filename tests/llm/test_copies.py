@@ -252,3 +252,35 @@ def test_fingerprint_of_long_text():
     text = " ".join(f"t{k % 977}" for k in range(70_000))
     assert simhash.fingerprint(text) == slow_fingerprint(text)
     assert np.uint64(simhash.fingerprint("a b c")) == slow_fingerprint("A\tB\nC")
+
+
+def test_rows_without_doc_id_and_texts_under_one_doc_id(spark):
+    """Unique texts stay whatever their doc_id; of copies without any doc_id one row stays, with one the named row."""
+    long = lambda k: " ".join(f"{k}word{j}" for j in range(30))
+    rows = [(None, long(1), "en", 1, 2), (None, long(2), "en", 1, 2), (None, long(2) + " more", "en", 1, 2), (None, long(2), "en", 5, 6), (0, long(3), "en", 1, 2), (0, long(4), "en", 1, 2), (7, long(4), "en", 1, 2), (None, long(4), "en", 1, 2), (9, long(5), "en", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__tie` string, fp long, first long")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text.split()[0]) for r in kept.collect())
+    assert got == [("0", "3word0"), ("0", "4word0"), ("9", "5word0"), ("None", "1word0"), ("None", "2word0")]
+
+
+def test_recall_against_all_pairs_of_the_table(spark):
+    """Of all pairs of different texts of a table that are similar, at least 0.9 are linked, and no others."""
+    from collections import Counter, defaultdict
+    from math import ceil
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    sets = {}
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        words = (r.text or "").encode().lower().split()
+        sets.setdefault(frozenset(zip(*(words[k:] for k in range(min(5, len(words)))))), r.doc_id)
+    seen, shared = Counter(g for s in sets for g in s), defaultdict(list)
+    for s in sets:
+        for g in sorted(s, key=lambda g: (seen[g], g))[: len(s) - ceil(0.8 * len(s)) + 1]:
+            shared[g].append(s)
+    pairs = {(sets[a], sets[b]) for some in shared.values() for a in some for b in some if sets[a] < sets[b] and len(a & b) >= 0.8 * len(a | b)}
+    linked = [got[a] == got[b] for a, b in pairs]
+    assert sum(linked) >= 0.9 * len(linked)
+    assert len({got[i] for i in sets.values()}) >= len(sets) - len(pairs)
