@@ -16,8 +16,9 @@ other radii the bucket is split by further blocks, see `_refined`).
 `near_copies` serves corpus stages, which ask for a similarity of 0.8 by 5-word shingles; such texts differ in
 about 15 % of the bits, far beyond two of 64. So the fingerprint has LANES words of 64 bits over the set of
 shingles. In each of `tables` fixed permutations its bits are split into blocks of `block_bits`, and texts that
-share a block are candidates. A pair within FAR bits is verified; one within SURE is a link as it stands, for
-the others the Jaccard similarity of the sets decides, so no link is below `similar`. At exactly 0.8 a pair
+share a block are candidates. A pair within FAR bits (FAR_SHORT where a set has fewer than SHORT shingles) is
+verified; one within SURE is a link as it stands, for the others the Jaccard similarity of the sets decides, so
+no link is below `similar`. FAR is four standard deviations over the mean distance at 0.8. At exactly 0.8 a pair
 shares none of the blocks with a chance of about 0.6 %, at 0.85 of 1 in 100,000 (sets of a few shingles more often).
 The chance that strangers share a block falls by half with each bit of `block_bits`.
 
@@ -54,7 +55,7 @@ COPY_SHINGLE = 5
 SIMILAR = 0.8
 BLOCK_BITS = 22
 TABLES = 4
-FAR = 224
+FAR, FAR_SHORT, SHORT = 200, 240, 32
 SURE = 90
 _LEAST_SET = 4  # smaller sets are similar only if they are equal
 _EPSILON = 1e-9
@@ -240,6 +241,21 @@ def _block_keys(nodes: DataFrame, block_bits: int, tables: int) -> DataFrame:
     return nodes.select("fp", *_WORDS).mapInArrow(run, "fp long, key long")
 
 
+def _near(a: str, b: str, similar: float):
+    """Whether the nodes with column prefixes a and b can be similar by their sizes and their Hamming distance."""
+    sized = F.least(f"{a}n", f"{b}n") + _EPSILON >= similar * F.greatest(f"{a}n", f"{b}n")
+    return sized & (_bits(a, b) <= F.when(F.least(f"{a}n", f"{b}n") < SHORT, FAR_SHORT).otherwise(FAR))
+
+
+def _bits(a: str, b: str):
+    return sum((F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in _WORDS), F.lit(0))
+
+
+def _side(rows: DataFrame, c: str, *more: str) -> DataFrame:
+    """`rows` with fp as `c`, and n and the fingerprint with that prefix."""
+    return rows.select(*more, F.col("fp").alias(c), *[F.col(x).alias(f"{c}{x}") for x in ("n", *_WORDS)])
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float, shingle: int) -> DataFrame:
     """Of the pairs a, b those within the Hamming radius and similar: a distance of SURE bits or less is proof,
     beyond that the shingle sets are compared."""
@@ -248,11 +264,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: flo
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t, shingle) for t in batch.column(1).to_pylist()])], ["fp", "hashes"])
 
-    side = lambda c: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"{c}n"), *[F.col(w).alias(f"{c}{w}") for w in _WORDS])
-    bits = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in _WORDS), F.lit(0))
-    sized = F.least("an", "bn") + _EPSILON >= similar * F.greatest("an", "bn")
-    left = pairs.distinct().join(side("a"), "a")
-    close = materialize(left.join(side("b"), "b").where(sized & (bits <= FAR)).select("a", "b", bits.alias("bits")), "copies-close")
+    both = pairs.distinct().join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b")
+    close = materialize(both.where(_near("a", "b", similar)).select("a", "b", _bits("a", "b").alias("bits")), "copies-close")
     unsure = close.where(F.col("bits") > SURE).select("a", "b")
     ends = unsure.select(F.col("a").alias("fp")).unionByName(unsure.select(F.col("b").alias("fp"))).distinct()
     chosen = nodes.select("fp", "rep.*").join(ends, "fp", "left_semi").select("fp", F.col("doc_id").alias("d"), F.col("tie").alias("t"))
@@ -292,17 +305,17 @@ def _copy_edges(nodes: DataFrame, texts: DataFrame, similar: float, shingle: int
         return materialize(rows.join(materialize(some, "copies-mixed"), on), "copies-split")
 
     def paired(rows: DataFrame, on: list[str]) -> DataFrame:
-        side = lambda c: rows.select(*on, F.col("fp").alias(c), F.col("root").alias(f"{c}r"), F.col("n").alias(f"{c}n"))
-        sized = F.least("an", "bn") + _EPSILON >= similar * F.greatest("an", "bn")
-        return side("a").join(side("b"), on).where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & sized).select("a", "b")
+        rows = rows.join(nodes.select("fp", "n", *_WORDS), "fp")
+        other = (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br"))
+        left, right = (_side(rows.withColumn(f"{c}r", F.col("root")), c, *on, f"{c}r") for c in ("a", "b"))
+        return left.join(right, on).where(other & _near("a", "b", similar)).select("a", "b")
 
-    sizes = nodes.select("fp", "n")
-    rest = mixed(shared.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), ["key"]).join(sizes, "fp")
+    rest = mixed(shared.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), ["key"])
     few, many = rest.where(F.col("size") <= small_bucket), rest.where(F.col("size") > small_bucket)
     pairs = paired(few, ["key"])
     if not many.isEmpty():  # large buckets are split by a second block
         others = keys.join(many.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("key").alias("other"))
-        split = many.select("key", "fp", "root", "n").join(others, "fp").where("key <> other")
+        split = many.select("key", "fp", "root").join(others, "fp").where("key <> other")
         pairs = pairs.unionByName(paired(mixed(split, ["key", "other"]), ["key", "other"]))
     tested = edges.select("a", "b")
     return edges.unionByName(_verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), nodes, texts, similar, shingle))
