@@ -1,8 +1,10 @@
 """Benchmark decontamination with a generalised suffix automaton over item words.
 
-The automaton of all benchmark items is built once from the benchmark (a table that is small beside the
-corpus; its words are counted first, and a benchmark of more than `SHARD_WORDS` words is dealt into
-several automata that the documents pass one after the other, so what is broadcast has a fixed bound).
+Items are dealt into shards of about `SHARD_WORDS` words. The driver holds one shard's items at a time, builds its
+automaton, and keeps it as flat arrays of 32-bit numbers (some 60 bytes a word). `PASS_WORDS` words at most are broadcast
+at once; the documents pass a larger benchmark's parts one after the other, each pass is written to the shared
+folder, and its broadcast is destroyed. So the memory has a fixed bound, and a benchmark of up to `PASS_WORDS`
+words costs one pass.
 Document words are streamed through it and the length of the longest suffix that occurs in any item is
 tracked. Where it reaches `window` words (or the whole of a shorter item) the words of that occurrence
 are hit. Words that no item has reset the automaton, so only runs of benchmark words take its steps.
@@ -18,15 +20,20 @@ nothing; clashing extra columns of either table are ignored (`contamination`) or
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import internal, materialize
+
 WINDOW = 10
 MAX_COVERAGE = 0.5
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 200_000
+PASS_WORDS = 2_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: ASCII letters in lower case, digits and all bytes of other characters stay; every other byte parts words.
@@ -37,56 +44,31 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
-class Automaton:
-    """Generalised suffix automaton of word sequences, with what a match of each state means.
-
-    hits[s]: for state s, (n, items) pairs in ascending n: a match of n or more words that ends in s
-    completes a window (or whole short item) of n words of these items.
-    """
+class _Builder:
+    """Generalised suffix automaton of word sequences while it grows."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends: dict[int, set[int]] = {}
-        shorts: dict[int, set[tuple[int, int]]] = {}
-        for item, words in items:
-            last = 0
-            for w in words:
-                last = self._extend(last, self.ids.setdefault(w, len(self.ids)))
-        for item, words in items:
-            state = 0
-            for n, w in enumerate(words, 1):
-                state = self.next[state][self.ids[w]]
-                if n >= window:
-                    ends.setdefault(self._holding(state, window), set()).add(item)
-            if 0 < len(words) < window:
-                shorts.setdefault(self._holding(state, len(words)), set()).add((len(words), item))
-        own: dict[int, dict[int, set[int]]] = {s: {window: x} for s, x in ends.items()}
-        for s, found in shorts.items():
-            for n, item in found:
-                own.setdefault(s, {}).setdefault(n, set()).add(item)
-        self.hits: list[tuple[tuple[int, tuple[int, ...]], ...]] = [()] * len(self.link)
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            up = self.hits[self.link[s]]
-            self.hits[s] = up + tuple((n, tuple(sorted(x))) for n, x in sorted(own.get(s, {}).items())) if s in own else up
+        self.link, self.length = array("i", [-1]), array("i", [0])
+
+    def add(self, codes: list[int]) -> None:
+        last = 0
+        for c in codes:
+            last = self._extend(last, c)
 
     def _extend(self, last: int, c: int) -> int:
         if (q := self.next[last].get(c)) is not None:
-            if self.length[q] == self.length[last] + 1:
-                return q
-            return self._clone(last, c, q)
-        cur = self._new(self.length[last] + 1, {})
-        p = last
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, c, q)
+        new, p = self._new(self.length[last] + 1, {}), last
         while p != -1 and c not in self.next[p]:
-            self.next[p][c] = cur
+            self.next[p][c] = new
             p = self.link[p]
         if p == -1:
-            self.link[cur] = 0
+            self.link[new] = 0
         else:
             q = self.next[p][c]
-            self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
-        return cur
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
+        return new
 
     def _new(self, length: int, following: dict[int, int]) -> int:
         self.next.append(following)
@@ -103,90 +85,154 @@ class Automaton:
             p = self.link[p]
         return new
 
-    def _holding(self, state: int, n: int) -> int:
+    def holding(self, state: int, n: int) -> int:
         """The state that holds the last n words of what leads to `state`."""
         while self.length[self.link[state]] >= n:
             state = self.link[state]
         return state
 
-    def scan(self, words: list[bytes], start_words: int) -> tuple[list[tuple[int, int]], set[int]]:
-        """Merged spans [first, last) of hit words, and the items. start_words: the least n of all hits."""
-        codes = list(map(self.ids.get, words))
-        follow, link, length, hits = self.next, self.link, self.length, self.hits
+
+class Automaton:
+    """A generalised suffix automaton in flat arrays, with what a match in each state completes.
+
+    The edges of state s are codes[k], targets[k] for k from edges[s] to edges[s + 1], in order of the code. What
+    it completes is sizes[k], items[k] for k from own[s] to own[s + 1]: a match of sizes[k] or more words that
+    ends in s completes a window (or a whole short item) of that item. nearest[s] is the first state on the way
+    from s along the suffix links that completes anything, or 0.
+    """
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
+        self.ids: dict[bytes, int] = {}
+        grown = _Builder()
+        for _, words in items:
+            grown.add([self.ids.setdefault(w, len(self.ids)) for w in words])
+        ends: set[tuple[int, int, int]] = set()
+        for item, words in items:
+            state, size = 0, min(window, len(words))
+            for n, w in enumerate(words, 1):
+                state = grown.next[state][self.ids[w]]
+                if n >= size:
+                    ends.add((grown.holding(state, size), size, item))
+        states = len(grown.link)
+        self.link, self.length = grown.link, grown.length
+        self.edges, self.codes, self.targets = array("i", [0]), array("i"), array("i")
+        for s in range(states):
+            found = sorted(grown.next[s].items())
+            self.codes.extend(c for c, _ in found)
+            self.targets.extend(t for _, t in found)
+            self.edges.append(len(self.codes))
+            grown.next[s] = None
+        done = sorted(ends)
+        self.sizes, self.items = array("i", (n for _, n, _ in done)), array("q", (x for _, _, x in done))
+        self.own = array("i", [0]) * (states + 1)
+        for s, _, _ in done:
+            self.own[s + 1] += 1
+        for s in range(states):
+            self.own[s + 1] += self.own[s]
+        self.nearest = array("i", [0]) * states
+        for s in sorted(range(1, states), key=self.length.__getitem__):
+            self.nearest[s] = s if self.own[s] < self.own[s + 1] else self.nearest[self.link[s]]
+        self.least = min(self.sizes, default=window)
+
+    def bytes(self) -> int:
+        """Size of the arrays."""
+        return sum(len(x) * x.itemsize for x in vars(self).values() if isinstance(x, array))
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Merged spans [first, last) of hit words, and the items that have a hit."""
+        link, length, edges, codes, targets, nearest, own = self.link, self.length, self.edges, self.codes, self.targets, self.nearest, self.own
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
         state = n = 0
-        for at, c in enumerate(codes):
+        for at, c in enumerate(map(self.ids.get, words)):
             if c is None:
                 state = n = 0
                 continue
-            while (to := follow[state].get(c)) is None and state:
+            while True:
+                last = edges[state + 1]
+                k = bisect_left(codes, c, edges[state], last)
+                if k < last and codes[k] == c:
+                    state, n = targets[k], n + 1
+                    break
+                if not state:
+                    break
                 state = link[state]
                 n = length[state]
-            if to is None:
+            if n < self.least:
                 continue
-            state, n = to, n + 1
-            if n >= start_words and hits[state]:
-                most = 0
-                for size, found in hits[state]:
-                    if size > n:
-                        break
-                    most = size
-                    items.update(found)
-                if most:
-                    first = at + 1 - most
-                    while spans and spans[-1][1] >= first:
-                        first = min(first, spans.pop()[0])
-                    spans.append((first, at + 1))
+            most, s = 0, nearest[state]
+            while s:
+                for k in range(own[s], own[s + 1]):
+                    if self.sizes[k] <= n:
+                        most = max(most, self.sizes[k])
+                        items.add(self.items[k])
+                s = nearest[link[s]]
+            if most:
+                first = at + 1 - most
+                while spans and spans[-1][1] >= first:
+                    first = min(first, spans.pop()[0])
+                spans.append((first, at + 1))
         return spans, items
 
 
-def _shards(benchmark: DataFrame, shard_words: int) -> list[list[tuple[int, list[bytes]]]]:
-    """The items in groups of at most about `shard_words` words; each group comes to the driver alone."""
+def _passes(benchmark: DataFrame, window: int, shard_words: int, pass_words: int):
+    """Lists of automata of at most about `pass_words` words; the items of one shard at a time come to the driver."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where("item_id is not null")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // (4 * shard_words)))
+    spaces = F.length(F.regexp_replace("text", "[A-Za-z0-9]+", "")) + 1  # words, or more
+    total = rows.agg(F.sum(spaces)).first()[0] or 0
+    n = max(1, -(-total // shard_words))
+    held: list[Automaton] = []
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         found = [(r.item_id, words_of(r.text)) for r in part.toLocalIterator()]
-        yield sorted((x for x in found if x[1]), key=lambda x: (x[0], x[1]))
-
+        if items := sorted((x for x in found if x[1]), key=lambda x: (x[0], x[1])):
+            held.append(Automaton(items, window))
+        if held and (len(held) + 1) * shard_words > pass_words:
+            yield held
+            held = []
+    if held:
+        yield held
 
-def _least(items, window: int) -> int:
-    return min([window, *(len(w) for _, w in items)])
 
-
-def _scans(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[str]) -> DataFrame:
-    """The columns `keep`, and __words, __hit, __items over all shards, and __kept: the text without hit spans."""
+def _scans(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, str, str, str]:
+    """The columns of `docs`, and under names of their own: the number of words, the hit spans, the items."""
     spark = docs.sparkSession
-    shared = []
-    for items in _shards(benchmark, SHARD_WORDS):
-        if items:
-            shared.append(spark.sparkContext.broadcast((Automaton(items, window), _least(items, window))))
-    fields = [docs.select(*keep).schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("__words", T.LongType()), T.StructField("__hit", T.LongType()), T.StructField("__items", T.ArrayType(T.LongType())), T.StructField("__kept", T.StringType())])
-
-    def run(batches):
-        for batch in batches:
-            sizes, hits, items, kept = [], [], [], []
-            for text in batch.column(len(keep)).to_pylist():
-                words = words_of(text)
-                spans, found = [], set()
-                for automaton in shared:
-                    a, least = automaton.value
-                    s, f = a.scan(words, least)
-                    spans, found = spans + s, found | f
-                if len(shared) > 1:
-                    spans = merged(spans)
-                sizes.append(len(words))
-                hits.append(sum(b - a for a, b in spans))
-                items.append(sorted(found))
-                kept.append(cut(text, spans) if spans else None)
-            arrays = [batch.column(k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(kept, pa.string())], names=schema.names)
-
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    columns = docs.columns
+    added = size, spans, items = [internal(docs, x) for x in ("words", "spans", "items")]
+    pair = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*docs.schema.fields, T.StructField(size, T.LongType()), T.StructField(spans, T.ArrayType(pair)), T.StructField(items, T.ArrayType(T.LongType()))])
+    none = lambda kind: F.lit(None).cast(kind)
+    found = docs.select(*columns, F.lit(0).cast("long").alias(size), none(schema[spans].dataType).alias(spans), none(schema[items].dataType).alias(items))
+
+    def scanner(shared):
+        at = columns.index("text")
+
+        def run(batches):
+            for batch in batches:
+                automata = shared.value if shared else ()
+                out: list[list] = [[], [], []]
+                known = zip(*(batch.column(len(columns) + k).to_pylist() for k in (1, 2)), strict=True)
+                for text, (s, f) in zip(batch.column(at).cast(pa.string()).to_pylist(), known, strict=True):
+                    words = words_of(text)
+                    s, f = [tuple(x) for x in s or ()], set(f or ())
+                    for a in automata:
+                        more, has = a.scan(words)
+                        s, f = merged(s + more) if s else more, f | has
+                    for column, x in zip(out, (len(words), s, sorted(f)), strict=True):
+                        column.append(x)
+                arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64())), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *arrays], names=schema.names)
+
+        return run
+
+    shared = None
+    for automata in _passes(benchmark, window, SHARD_WORDS, PASS_WORDS):
+        if shared:  # another pass: what the last one found is written, and its automata go
+            found = materialize(found.mapInArrow(scanner(shared), schema), "decontam-pass")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(automata)
+    return found.mapInArrow(scanner(shared), schema), *added
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -212,21 +258,42 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the items themselves."""
-    found = _scans(docs.select("doc_id", "text"), benchmark, window, ["doc_id"])
-    listed = F.array_join(F.array_sort(F.transform("__items", lambda x: x.cast("string"))), ",")
+    found, words, spans, items = _scans(docs.select("doc_id", "text"), benchmark, window)
+    listed = F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ",")
+    hit = _hit(spans)
     return found.select(
-        "doc_id", F.col("__words").alias("n_words"), F.col("__hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("__hit") > 0).alias("contaminated"), F.col("__items").alias("items")
+        "doc_id", F.col(words).alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (hit > 0).alias("contaminated"), F.col(items).alias("items")
     )
 
 
+def _hit(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """The columns of `docs`: hit spans are cut from `text`, and documents with at least `max_coverage` of
     their words hit, or nothing left after the cut, are dropped. n_chars, where present, follows the new text."""
     columns = docs.columns
-    found = _scans(docs, benchmark, window, columns)
-    hit = F.col("__hit") > 0
-    kept = found.where(~hit | ((F.col("__hit") < max_coverage * F.col("__words")) & (F.length("__kept") > 0)))
-    changed = {"text": F.when(hit, F.col("__kept")).otherwise(F.col("text"))}
-    if "n_chars" in columns:
-        changed["n_chars"] = F.when(hit, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
+    found, words, spans, _ = _scans(docs, benchmark, window)
+    hit = _hit(spans)
+    found = found.where((hit == 0) | (hit < max_coverage * F.col(words)))
+    at, size = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def run(batches):
+        for batch in batches:
+            arrays = list(batch.columns[:-1])
+            texts = arrays[at].to_pylist()
+            sizes = arrays[size].to_pylist() if size is not None else None
+            keep = []
+            for k, s in enumerate(batch.column(len(columns)).to_pylist()):
+                if s:
+                    texts[k] = cut(texts[k], s)
+                    if sizes:
+                        sizes[k] = len(texts[k])
+                keep.append(not s or bool(texts[k]))
+            arrays[at] = pa.array(texts, arrays[at].type)
+            if sizes is not None:
+                arrays[size] = pa.array(sizes, arrays[size].type)
+            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
+
+    return found.select(*columns, spans).mapInArrow(run, docs.schema)

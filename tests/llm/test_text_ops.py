@@ -223,3 +223,35 @@ def test_every_page_of_the_table(spark):
 def test_hostile_html_ends_in_time():
     for source in ('<a "' * 50_000, "<p>" * 100_000, "<!--" * 100_000, '<div class="' * 50_000, "<" * 200_000):
         html_extract.main_text(source)
+
+
+def test_contamination_over_several_passes(spark, monkeypatch):
+    """Parts of a benchmark that are scanned one pass after the other find what one automaton finds."""
+    rng = random.Random(7)
+    vocabulary = ["a", "b", "the", "word"]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 25)))) for k in range(12)]
+    texts = [" ".join(rng.choice([*vocabulary, "other"]) for _ in range(200)) for _ in range(20)] + [None, items[0][1]]
+    docs, bench = spark.createDataFrame(rows_of(texts), DOCS), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(decontam.contamination(docs, bench).drop("items").collect())
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 30)
+    monkeypatch.setattr(decontam, "PASS_WORDS", 60)
+    assert sorted(decontam.contamination(docs, bench).drop("items").collect()) == whole
+    assert any(r.n_hit for r in whole)
+
+
+def test_automaton_size_and_a_very_long_text():
+    rng = random.Random(8)
+    items = [(k, [b"w%d" % rng.randrange(5000) for _ in range(100)]) for k in range(500)]
+    automaton = decontam.Automaton(items)
+    assert automaton.bytes() <= 70 * 50_000
+    words = [b"w%d" % rng.randrange(5000) for _ in range(200_000)]
+    words[150_000:150_030] = items[7][1][40:70]
+    assert automaton.scan(words) == ([(150_000, 150_030)], {7})
+
+
+def test_columns_named_like_internal_ones(spark):
+    passage = " ".join(f"q{k}" for k in range(14))
+    text = passage + " and then so many other words that most of this document is its own and not from the passage"
+    docs = spark.createDataFrame([(1, text, "a", 2, "b", 3)], "doc_id long, text string, __words string, __hit long, __kept string, __spans int")
+    got = decontam.decontaminate(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, text[len(passage) + 1 :], "a", 2, "b", 3)]
