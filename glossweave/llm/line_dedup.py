@@ -3,23 +3,28 @@
 A run is a stretch of consecutive lines of one document; two runs are equal if their lines are (white
 space collapsed). A line is deleted if it lies in a run of at least `min_words` words that also occurs
 earlier: in a document with a smaller doc_id, or further up in the same one. The first occurrence stays.
+With `inside_lines` a run may also begin and end inside a line: every word goes that lies in `min_words`
+consecutive words (across line ends) that occur earlier, and a line of which all words go is deleted.
 
-Every minimal stretch of at least `min_words` words, from each line on and back from each line, is a
-window. The least line hash of a window is its fingerprint, so any repeated run of that size contains a
-fingerprint that both occurrences select. Positions are joined on fingerprints that occur twice; around
-these the match is extended both ways, to the windows they stand for: windows with equal content are
-occurrences of one run, and all but the earliest mark their lines. Since any repeated run is the union of
-such windows and every line of it lies in one, this deletes exactly the lines of the definition, without
-forming pairs: a fingerprint or window that very many documents share costs one row an occurrence.
+Winnowing: every minimal stretch of whole lines with at least `min_words` words is a window, and the least line
+hash in it is selected as its fingerprint; one position is a fingerprint for all windows around it. Inside
+lines, the units are grams of GRAM words, a window is `min_words` words, and the least gram hash in it is
+selected. So any two occurrences of a run select a fingerprint in common. Only the selected positions are written
+and grouped; only those whose fingerprint stands at two places go on. Around these the windows they were
+selected for are read again, and each is joined by its content with the earliest place of that content. Windows that
+match are extended both ways by the next matching ones to the maximal run, and all words of it are cut. No
+pairs are formed: a fingerprint or window that very many documents share costs one row an occurrence.
 
 Defined cases: null texts stay null and empty ones empty; lines without words belong to no run, and are
 deleted along with the line before them; rows with the same doc_id and text are one document and get the
 same result, rows with the same doc_id and other text are ordered by a hash of it; documents with a null
-doc_id count as earliest; an empty table gives an empty result; other columns stay as they are.
+doc_id count as earliest; an empty table gives an empty result; other columns stay as they are, whatever they are called.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,9 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import internal, materialize
 
 MIN_WORDS = 50
+GRAM = 8
+_SLAB = 1 << 15
+_BASE = 0x9E3779B97F4A7C15
 
 
 def lines_of(text: str | None) -> list[tuple[int, int, int]]:
@@ -66,106 +74,203 @@ def windows_of(lines: list[tuple[int, int, int]], min_words: int = MIN_WORDS) ->
     return found
 
 
-def fingerprints_of(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, list[tuple[int, int, int]]]]:
-    """(least line hash, the windows it stands for as (content hash, first line number, last))."""
+class Windows:
+    """The windows of a text in word numbers: first, last (exclusive), content hash, and the fingerprint with its word number."""
+
+    def __init__(self, first, last, content, fp, at):
+        self.first, self.last, self.content, self.fp, self.at = first, last, content, fp, at
+
+
+def line_windows(text: str | None, min_words: int = MIN_WORDS) -> Windows:
+    """Windows of whole lines; the first of equal least hashes is selected."""
     lines = lines_of(text)
-    chosen: dict[int, list[tuple[int, int, int]]] = {}
+    begin = np.cumsum([0, *(n for _, n, _ in lines)])
+    hashes = np.array([h for _, _, h in lines], np.uint64)
+    rows = []
     for a, b in sorted(windows_of(lines, min_words)):
-        hashes = [h for _, _, h in lines[a : b + 1]]
-        content = xxhash.xxh64_intdigest(np.array(hashes, "<u8").tobytes())
-        chosen.setdefault(min(hashes), []).append((content, lines[a][0], lines[b][0]))
-    return list(chosen.items())
+        k = a + int(hashes[a : b + 1].argmin())
+        rows.append((begin[a], begin[b + 1], xxhash.xxh64_intdigest(hashes[a : b + 1].tobytes()), int(hashes[k]), begin[k]))
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return Windows(*(np.array(c, t) for c, t in zip(columns, (np.int64, np.int64, np.uint64, np.uint64, np.int64), strict=True)))
+
+
+def _rolled(words: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hashes of all stretches of n words, by doubling."""
+    whole, done, power, size = None, 0, words, 1
+    while True:
+        if n & size:
+            if whole is None:
+                whole = power
+            else:
+                m = len(words) - done - size + 1
+                whole = whole[:m] + np.uint64(pow(_BASE, done, 1 << 64)) * power[done : done + m]
+            done += size
+        size *= 2
+        if size > n:
+            return whole
+        m = len(power) - size // 2
+        power = power[:m] + np.uint64(pow(_BASE, size // 2, 1 << 64)) * power[size // 2 :]
+
 
+def _finished(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-_ROW = "doc_id long, tie long, fp long, content long, first int, last int"
 
+def word_windows(text: str | None, min_words: int = MIN_WORDS) -> Windows:
+    """Windows of `min_words` words, wherever lines end; the first of equal least gram hashes is selected."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    n, gram = len(words), min(GRAM, min_words)
+    if n < min_words:
+        none = np.zeros(0, np.int64)
+        return Windows(none, none, none.astype(np.uint64), none.astype(np.uint64), none)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    grams, width = _finished(_rolled(hashes, gram)), min_words - gram + 1
+    first = np.arange(n - min_words + 1)
+    at = np.concatenate([k + np.lib.stride_tricks.sliding_window_view(grams[k : k + _SLAB + width - 1], width).argmin(1) + np.arange(len(first[k : k + _SLAB])) for k in range(0, len(first), _SLAB)])
+    return Windows(first, first + min_words, _finished(_rolled(hashes, min_words)), grams[at], at)
+
+
+_KINDS = (line_windows, word_windows)
+
+
+def _positions(texts: DataFrame, min_words: int, kinds: int) -> DataFrame:
+    """doc_id, tie, kind, at, fp: the selected positions."""
 
-def _selected(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[list] = [[], [], [], [], [], []]
-            for d, t, text in zip(ids, ties, batch.column(2).to_pylist(), strict=True):
-                for fp, windows in fingerprints_of(text, min_words):
-                    for content, first, last in windows:
-                        for column, x in zip(rows, (d, t, fp, content, first, last), strict=True):
-                            column.append(x)
-                    if len(rows[0]) > 50_000:
-                        yield _batch(rows)
-                        rows = [[], [], [], [], [], []]
-            yield _batch(rows)
+            for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for kind in range(kinds):
+                    w = _KINDS[kind](text, min_words)
+                    at, which = np.unique(w.at, return_index=True)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([d] * len(at), pa.int64()), pa.array([t] * len(at), pa.int64()), pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(w.fp[which].view(np.int64))], ["doc_id", "tie", "kind", "at", "fp"])
+
+    return texts.mapInArrow(_gathered(run), "doc_id long, tie long, kind int, at long, fp long")
+
 
-    return docs.select("doc_id", "tie", "text").mapInArrow(run, _ROW)
+def _gathered(run):
+    """`run` with its many small batches put together."""
 
+    def whole(batches):
+        held, size = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 20_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    unsigned = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in rows[2:4]]
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *unsigned, pa.array(rows[4], pa.int32()), pa.array(rows[5], pa.int32())], names=["doc_id", "tie", "fp", "content", "first", "last"])
+    return whole
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, tie (hash of the text), first, last: windows that occur earlier, as line numbers."""
+def _windows(texts: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, tie, first, last, key (fingerprint and content) of the windows selected for the positions `chosen` of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for d, t, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                for kind in {x["kind"] for x in chosen}:
+                    w = _KINDS[kind](text, min_words)
+                    use = np.isin(w.at, [x["at"] for x in chosen if x["kind"] == kind])
+                    n = int(use.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(w.first[use]), pa.array(w.last[use]), pa.array(np.full(n, kind, np.int32)), pa.array(w.fp[use].view(np.int64)), pa.array(w.content[use].view(np.int64))], ["doc_id", "tie", "first", "last", "kind", "fp", "content"])
+
+    return texts.mapInArrow(_gathered(run), "doc_id long, tie long, first long, last long, kind int, fp long, content long")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
+    """doc_id, tie (hash of the text), first, last: the words of windows that occur earlier, as numbers from 0, last exclusive."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
-    windows = materialize(_selected(texts, min_words), "lines-windows")
-    # several windows of one place share a fingerprint: it is shared only if it stands at two places
-    place = F.struct("doc_id", "tie", "first")
-    shared = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
+    selected = materialize(_positions(texts, min_words, 2 if inside_lines else 1), "lines-positions")
+    spot = F.struct("doc_id", "tie", "at")
+    shared = selected.groupBy("kind", "fp").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("kind", "fp")
     shared = materialize(shared, "lines-shared")  # so that both sides are shuffled plainly and a hot one can be split
-    around = windows.join(shared, "fp", "left_semi")
-    earliest = around.groupBy("content").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("content", "a")
-    earliest = materialize(earliest, "lines-earliest")
-    return around.join(earliest, "content").where(place > F.col("a")).select("doc_id", "tie", "first", "last")
+    near = selected.join(shared, ["kind", "fp"], "left_semi").select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("u"), F.col("tie").alias("t"), F.struct("kind", "at").alias("p"))
+    chosen = materialize(near.groupBy("d", "u", "t").agg(F.collect_set("p").alias("chosen")), "lines-chosen")  # a text's own positions
+    once = texts.select("*", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("u"), F.col("tie").alias("t")).join(chosen, ["d", "u", "t"])
+    windows = materialize(_windows(once.select("doc_id", "tie", "text", "chosen"), min_words), "lines-windows")
+    place = F.struct("doc_id", "tie", "first")
+    key = ["kind", "fp", "content"]
+    earliest = windows.groupBy(*key).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select(*key, "a")
+    return windows.join(materialize(earliest, "lines-earliest"), key).where(place > F.col("a")).select("doc_id", "tie", "first", "last")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
     """The columns of `docs` with later repeated runs cut from text, then n_lines, n_deleted. n_chars, where
     present, follows the new text; columns named like the added ones give way."""
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_deleted")])
-    columns = docs.columns
-    runs = repeated_runs(docs, min_words).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("__runs"))
-    runs = runs.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "__runs")
-    keyed = docs.withColumn("__k", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(runs, F.col("__id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__k") == F.col("__tie")), "left")
-    return _cut(joined, columns, docs.schema.fields)
+    k, runs, d, u, t = (internal(docs, x) for x in ("k", "runs", "d", "u", "t"))
+    found = repeated_runs(docs, min_words, inside_lines).groupBy(F.coalesce("doc_id", F.lit(-1)).alias(d), F.col("doc_id").isNull().alias(u), F.col("tie").alias(t))
+    found = found.agg(F.collect_set(F.array("first", "last")).alias(runs))
+    keyed = docs.withColumn(t, F.xxhash64(F.col("text").cast("string"))).withColumn(u, F.col("doc_id").isNull()).withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    return _cut(keyed.join(found, [d, u, t], "left").select(*docs.columns, runs), docs.schema.fields)
 
 
-def _cut(joined: DataFrame, columns: list[str], fields: list) -> DataFrame:
-    at = columns.index("text")
+def _cut(joined: DataFrame, fields: list) -> DataFrame:
+    columns = [f.name for f in fields]
+    at, size = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())])
 
     def run(batches):
         for batch in batches:
+            arrays = list(batch.columns[:-1])
             texts, counts, deleted = [], [], []
-            for text, runs in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                kept, n, gone = without(text, [(r["first"], r["last"]) for r in runs or ()])
+            sizes = arrays[size].to_pylist() if size is not None else None
+            for k, (text, runs) in enumerate(zip(arrays[at].to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)):
+                kept, n, gone = without(text, runs or [])
+                if sizes is not None and kept != text:
+                    sizes[k] = len(kept)
                 texts.append(kept)
                 counts.append(n)
                 deleted.append(gone)
-            arrays = [batch.column(k) for k in range(len(columns))]
-            arrays[at] = pa.array(texts, pa.string())
+            arrays[at] = pa.array(texts, arrays[at].type)
+            if sizes is not None:
+                arrays[size] = pa.array(sizes, arrays[size].type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())], names=schema.names)
 
-    out = joined.select(*columns, "__runs").mapInArrow(run, schema)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast(out.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out
+    return joined.mapInArrow(run, schema)
 
 
-def without(text: str | None, runs: list[tuple[int, int]]) -> tuple[str | None, int, int]:
-    """The text without the lines of `runs`; its lines; how many of them went."""
+def without(text: str | None, runs: list) -> tuple[str | None, int, int]:
+    """The text without the words of `runs` (first, last); its lines; how many of them went whole."""
     if text is None:
         return None, 0, 0
     lines = text.split("\n")
     if not runs:
         return text, len(lines), 0
-    gone = np.zeros(len(lines) + 1, np.int64)
+    # words are parted by ASCII white space, as the hashes have it
+    raw = [line.encode("utf-8", "surrogatepass") for line in lines]
+    counts = [len(x.split()) for x in raw]
+    change = np.zeros(sum(counts) + 1, np.int64)
     for a, b in runs:
-        gone[a] += 1
-        gone[b + 1] -= 1
-    gone = np.cumsum(gone) > 0
-    kept, before = [], False
-    for k, line in enumerate(lines):
-        before = bool(gone[k]) if line.split() else before
-        if not before:
-            kept.append(line)
+        change[a] += 1
+        change[b] -= 1
+    gone = np.cumsum(change) > 0
+    kept, before, begin = [], False, 0
+    for line, data, n in zip(lines, raw, counts, strict=True):
+        lost = gone[begin : begin + n]
+        begin += n
+        if n:
+            before = bool(lost.all())
+        if before:
+            continue
+        kept.append(_shortened(data, lost) if n and lost.any() else line)
     return "\n".join(kept), len(lines), len(lines) - len(kept)
+
+
+_BYTES = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+
+
+def _shortened(line: bytes, lost: np.ndarray) -> str:
+    """The line without its lost words and the white space behind each."""
+    parts, begin = [], 0
+    spans = [m.span() for m in _BYTES.finditer(line)]
+    for k, (a, _) in enumerate(spans):
+        if lost[k]:
+            parts.append(line[begin:a])
+            begin = spans[k + 1][0] if k + 1 < len(spans) else len(line)
+    parts.append(line[begin:])
+    return b"".join(parts).rstrip().decode("utf-8", "surrogatepass")

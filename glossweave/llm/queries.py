@@ -43,8 +43,8 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text without later repeated runs, n_lines, n_deleted."""
-    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """doc_id, text without later repeated runs (of lines, and of words inside them), n_lines, n_deleted."""
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), inside_lines=True)
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,3 +284,49 @@ def test_recall_against_all_pairs_of_the_table(spark):
     linked = [got[a] == got[b] for a, b in pairs]
     assert sum(linked) >= 0.9 * len(linked)
     assert len({got[i] for i in sets.values()}) >= len(sets) - len(pairs)
+
+
+def slow_words(rows, size):
+    """Of each text, the words outside all stretches of `size` words that occur earlier."""
+    first, out = {}, {}
+    parsed = [(i, (t or "").split()) for i, t in sorted(rows, key=lambda r: r[0])]
+    for at, (_, words) in enumerate(parsed):
+        for k in range(len(words) - size + 1):
+            first.setdefault(tuple(words[k : k + size]), (at, k))
+    for at, (i, words) in enumerate(parsed):
+        gone = set()
+        for k in range(len(words) - size + 1):
+            if first[tuple(words[k : k + size])] < (at, k):
+                gone.update(range(k, k + size))
+        out[i] = [w for k, w in enumerate(words) if k not in gone]
+    return out
+
+
+@pytest.mark.parametrize("size", [5, 12, 13])
+def test_runs_inside_lines_match_brute_force(spark, size):
+    """Passages that are wrapped otherwise, begin inside a line or repeat in one text."""
+    rng = random.Random(size)
+    passages = [[rng.choice("abcdefghij") + str(rng.randrange(9)) for _ in range(rng.randint(4, 40))] for _ in range(8)]
+    rows = []
+    for k in range(60):
+        words = [w for _ in range(rng.randint(0, 4)) for w in [*[f"o{rng.randrange(300)}" for _ in range(rng.randint(0, 6))], *rng.choice(passages)]]
+        rows.append((k, "".join(w + rng.choice([" ", " ", "  ", "\n"]) for w in words)))
+    rows += [(90, "same " * 60), (91, "same " * 9), (92, None), (93, "")]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text or "").split() for r in line_dedup.dedup_lines(data, size, inside_lines=True).collect()}
+    assert got == slow_words(rows, size)
+
+
+def test_only_minima_are_selected():
+    text = "\n".join(" ".join(f"w{17 * k % 101}x{j}" for j in range(7)) for k in range(400))
+    for windows in (line_dedup.line_windows(text), line_dedup.word_windows(text)):
+        assert len(set(windows.at.tolist())) < 0.5 * len(windows.at)
+        assert all(a <= p < b for a, b, p in zip(windows.first, windows.last, windows.at, strict=True))
+
+
+def test_line_dedup_of_null_ids_long_texts_and_clashing_names(spark):
+    long = " ".join(f"t{k}" for k in range(120_000))
+    rows = [(None, long, "a"), (3, long + " end", "b"), (3, "short", "c")]
+    data = spark.createDataFrame(rows, "doc_id long, text string, __runs string").withColumnRenamed("doc_id", "doc_id")
+    got = {r["__runs"]: r for r in line_dedup.dedup_lines(data, inside_lines=True).collect()}
+    assert (got["a"].text, got["b"].text, got["c"].text) == (long, "end", "short")
