@@ -1,12 +1,19 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids are fitted by k-means on a bounded sample (`SAMPLE` vectors, the first in hash order, and at most
-`SAMPLE_BYTES` of them). Every vector goes to the list of its nearest centroid; boundary vectors, whose
-next centroids are nearly as near, are replicated to up to `COPIES` lists (a centroid that lies close to one
-already chosen, within `APART` of its distance to the vector, is passed over). A query finds its centroids by best-first search
-in an in-memory neighbour graph over them, and searches the lists whose centroid is within (1 + `PRUNE`)
-times the nearest one's distance. Lists are dealt into chunks of about `CHUNK` vectors, so a large list
-or a large group of queries for one list is many tasks.
+Lists: a bounded sample (`SAMPLE` vectors, the first in hash order, `SAMPLE_BYTES` at most) is halved again and
+again along its main direction, which gives equally large leaves, one for every `list_size` vectors of the table
+(`MOST_LISTS` at most; a larger table has larger lists). A few rounds of k-means follow in which a list pays for
+being larger than the mean, so the lists stay balanced. Every vector goes to its nearest list, at that price;
+boundary vectors, whose next list is within (1 + `BOUNDARY`) of the nearest one's distance, are replicated to it
+(to `COPIES` lists at most; a list whose centroid is within `APART` of the vector's distance of one already chosen is passed over).
+
+Search: a query finds its centroids by best-first search in an in-memory neighbour graph and takes the lists
+whose centroid is within (1 + prune) times the nearest one's distance (or the usual one, where that is larger),
+and more until they hold k + 1 vectors. The ratio is fitted: a part of the sample is held out, and its
+nearest neighbours must be reached with a chance of `TARGET`. Neighbouring leaves of about `GROUP` vectors together are one group;
+a query goes once to each group where it has a list, with their numbers. A task holds the vectors of one group
+at a time and lets that group's queries stream past, so its memory is bounded whatever the number of queries; the
+vectors are repeated only for each further `QUERIES` queries of a group.
 
 Equal vectors are searched once: of each different vector the k + 1 least vec_ids are kept, all that any
 query can return, cut within each task before the shuffle. Equal queries are searched once likewise.
@@ -22,7 +29,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,101 +37,119 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 K = 10
-SAMPLE = 20_000
+SAMPLE = 32_768
 SAMPLE_BYTES = 64 << 20
-LIST_SIZE = 1_000
-MOST_LISTS = 4_096
-CHUNK = 4_096
-QUERIES = 1_024
-COPIES = 4
-BOUNDARY = 0.03
+LIST_SIZE = 24
+MOST_LISTS = 8_192
+GROUP = 2_048
+QUERIES = 1 << 16
+COPIES = 2
+BOUNDARY = 0.05
 APART = 0.3
-PRUNE = 0.12
-LEAST_LISTS = 8
+TARGET = 0.94
+HELD_OUT = 0.2
+ASKED = 256
 NEIGHBOURS = 16
 BEAM = 64
+_PRICE = 0.15
 
 
-def kmeans(sample: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
-    """Centroids of `sample`; empty ones are put on the points farthest from theirs."""
-    k = min(k, len(sample))
-    centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None], 0)
+
+
+def _nearest(points: np.ndarray, centres: np.ndarray, price: np.ndarray) -> np.ndarray:
+    return np.concatenate([(squared(points[k : k + 2048], centres) + price).argmin(1) for k in range(0, len(points), 2048)])
+
+
+def _leaves(points: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
+    """`rows` cut into n leaves of equal size, neighbouring ones one after the other."""
+    if n <= 1 or len(rows) < 2:
+        return [rows]
+    some = points[rows]
+    off = some - some.mean(0)
+    direction = off[int((off * off).sum(1).argmax())]
+    for _ in range(4):
+        direction = off.T @ (off @ direction)
+        direction /= max(float(np.linalg.norm(direction)), 1e-300)
+    order = rows[np.argsort(off @ direction, kind="stable")]
+    cut = len(rows) * (n // 2) // n
+    return _leaves(points, order[:cut], n // 2) + _leaves(points, order[cut:], n - n // 2)
+
+
+def balanced_lists(sample: np.ndarray, n: int, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of n lists of about equal size, and the price in squared distance that each takes."""
+    leaves = [x for x in _leaves(sample, np.arange(len(sample)), max(1, min(n, len(sample)))) if len(x)]
+    centres = np.stack([sample[x].mean(0) for x in leaves])
+    price, mean = np.zeros(len(centres)), len(sample) / len(centres)
+    spread = float(np.mean([squared(sample[x], c[None]).mean() for x, c in zip(leaves, centres, strict=True)]))
     for _ in range(rounds):
-        nearest, away = _nearest(sample, centres)
-        counts = np.bincount(nearest, minlength=k)
+        nearest = _nearest(sample, centres, price)
+        counts = np.bincount(nearest, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, sample)
         full = counts > 0
         centres[full] = sums[full] / counts[full, None]
-        if not full.all():
-            centres[~full] = sample[np.argsort(-away, kind="stable")[: int((~full).sum())]]
-    return centres
-
-
-def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None], 0)
-
-
-def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    which, away = [], []
-    for at in range(0, len(points), 2048):
-        d = squared(points[at : at + 2048], centres)
-        which.append(d.argmin(1))
-        away.append(d.min(1))
-    return np.concatenate(which), np.concatenate(away)
+        price = np.maximum(0.0, price + _PRICE * spread * np.clip(counts / mean - 1, -1, 1))
+    return centres, price
 
 
 class CentroidGraph:
     """Centroids, each linked to its nearest ones and to one before it, so that all are connected."""
 
-    def __init__(self, centres: np.ndarray):
-        self.centres = centres
-        links: list[set[int]] = [set() for _ in centres]
-        for at in range(0, len(centres), 1024):
+    def __init__(self, centres: np.ndarray, price: np.ndarray | None = None):
+        self.centres, self.price = centres, np.zeros(len(centres)) if price is None else price
+        n, few = len(centres), min(NEIGHBOURS, len(centres) - 1)
+        links: list[set[int]] = [{i // 2} if i else set() for i in range(n)]
+        for at in range(0, n, 1024):
             d = squared(centres[at : at + 1024], centres)
-            for i, row in enumerate(d, at):
-                row[i] = np.inf
-                for j in np.argsort(row, kind="stable")[: min(NEIGHBOURS, len(centres) - 1)]:
-                    links[i].add(int(j))
-                    links[int(j)].add(i)
-                if i:
-                    links[i].add(i // 2)
-                    links[i // 2].add(i)
-        self.links = [np.array(sorted(x), int) for x in links]
-
-    def search(self, q: np.ndarray, prune: float, least: int, beam: int = BEAM) -> list[int]:
-        """Centroids within (1 + prune) times the nearest one's distance, `least` at least, nearest first."""
-        dist = lambda ids: np.sqrt(((self.centres[ids] - q) ** 2).sum(1))
-        seen = {0}
-        front = [(float(dist(np.array([0]))[0]), 0)]
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+            if few:
+                for i, near in enumerate(np.argpartition(d, few - 1, axis=1)[:, :few].tolist(), at):
+                    links[i].update(near)
+        for i in range(n):
+            for j in list(links[i]):
+                links[j].add(i)
+        self.links = [np.array(sorted(x - {i}), int) for i, x in enumerate(links)]
+
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        return np.sqrt(squared(points, self.centres))
+
+    def search(self, q: np.ndarray, prune: float, usual: float = 0.0, sizes: np.ndarray | None = None, need: int = 1, beam: int = BEAM) -> list[int]:
+        """Lists within (1 + prune) times the distance of the nearest one (or `usual`), and more until `need` vectors."""
+        seen = np.zeros(len(self.centres), bool)
+        seen[0] = True
+        front = [(float(np.sqrt(((self.centres[0] - q) ** 2).sum())), 0)]
         found: list[tuple[float, int]] = []
-        best: list[float] = []
+        best, held = np.inf, 0
         while front:
             d, i = heapq.heappop(front)
-            best_d = found[0][0] if found else d
-            if len(best) >= beam and d > max(-best[0], (1 + prune) * best_d):
+            best = min(best, d)
+            if len(found) >= beam and held >= need and d > (1 + prune) * max(best, usual):
                 break
             found.append((d, i))
-            found.sort()
-            heapq.heappush(best, -d)
-            if len(best) > beam:
-                heapq.heappop(best)
-            fresh = np.array([j for j in self.links[i] if j not in seen], int)
+            held += 1 if sizes is None else int(sizes[i])
+            fresh = self.links[i][~seen[self.links[i]]]
             if len(fresh):
-                seen.update(fresh.tolist())
-                for x, j in zip(dist(fresh).tolist(), fresh.tolist(), strict=True):
+                seen[fresh] = True
+                for x, j in zip(np.sqrt(((self.centres[fresh] - q) ** 2).sum(1)).tolist(), fresh.tolist(), strict=True):
                     heapq.heappush(front, (x, j))
-        limit = (1 + prune) * found[0][0]
-        return [i for n, (d, i) in enumerate(found) if d <= limit or n < least]
+        found.sort()
+        limit, out, held = (1 + prune) * max(best, usual), [], 0
+        for d, i in found:
+            if d > limit and held >= need:
+                break
+            out.append(i)
+            held += 1 if sizes is None else int(sizes[i])
+        return out
 
 
-def assign(vectors: np.ndarray, centres: np.ndarray, boundary: float = BOUNDARY, copies: int = COPIES) -> list[list[int]]:
-    """The lists of each vector, the nearest first."""
-    between = np.sqrt(squared(centres, centres))
+def assign(vectors: np.ndarray, graph: CentroidGraph, boundary: float = BOUNDARY, copies: int = COPIES) -> list[list[int]]:
+    """The lists of each vector, its own first."""
     out: list[list[int]] = []
+    few = min(4 * copies, len(graph.centres))
     for at in range(0, len(vectors), 2048):
-        d = np.sqrt(squared(vectors[at : at + 2048], centres))
-        few = min(4 * copies, len(centres))
+        d = np.sqrt(squared(vectors[at : at + 2048], graph.centres) + graph.price)
         near = np.argpartition(d, few - 1, axis=1)[:, :few]
         for row, ids in zip(d, near, strict=True):
             ids = ids[np.argsort(row[ids], kind="stable")]
@@ -132,12 +157,33 @@ def assign(vectors: np.ndarray, centres: np.ndarray, boundary: float = BOUNDARY,
             for j in ids[1:]:
                 if row[j] > limit or len(chosen) == copies:
                     break
-                if all(between[j, i] >= APART * row[j] for i in chosen):
+                apart = ((graph.centres[j] - graph.centres[chosen]) ** 2).sum(1)
+                if (apart >= (APART * row[j]) ** 2).all():
                     chosen.append(int(j))
             out.append(chosen)
     return out
 
 
+def fitted_prune(graph: CentroidGraph, held: np.ndarray, total: int, k: int = K, target: float = TARGET) -> tuple[float, float]:
+    """The ratio that reaches a neighbour with a chance of `target`, and the usual distance of the nearest list.
+
+    `held` is a sample of the `total` vectors that had no part in the lists. Its nearest neighbours among itself
+    are at the distance of the k-th among all, or farther, so the ratio is not too small for the table."""
+    asked = held[:ASKED]
+    if len(held) < 2:
+        return 1.0, 0.0
+    away = graph.distances(asked)
+    nearest = away.min(1)
+    usual = float(np.median(nearest))
+    d = squared(asked, held)
+    d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    count = max(1, min(len(held) - 1, round(k * len(held) / total)))
+    near = np.argpartition(d, count - 1, axis=1)[:, :count]
+    lists = assign(held, graph)
+    ratios = [min(away[i, c] for c in lists[j]) / max(nearest[i], usual, 1e-300) - 1 for i in range(len(asked)) for j in near[i]]
+    return max(0.0, float(np.quantile(ratios, target))), usual
+
+
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """vec_id, v (array of doubles) of the rows that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
@@ -147,6 +193,49 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.where(F.size("v") == (size[0] if size else 0))
 
 
+def _groups(graph: CentroidGraph, total: int, group: int = GROUP) -> np.ndarray:
+    """The group of each list; lists are in the order of the leaves, so neighbouring ones stay together."""
+    n = len(graph.centres)
+    return np.arange(n) // max(1, round(n * group / max(1, total)))
+
+
+
+def _meeting(k: int):
+    """Rows in order of group, part and kind: the vectors of a group are held, its queries stream past."""
+
+    def run(batches):
+        key, held, done = None, [], None
+        for batch in batches:
+            columns = [batch.column(n) for n in ("g", "part", "kind", "id", "v", "ids", "lists")]
+            g, part, kind, ids = (c.to_numpy() for c in columns[:4])
+            width = len(columns[4][0]) if batch.num_rows else 0
+            points = columns[4].flatten().to_numpy().reshape(batch.num_rows, width)
+            names, lists = columns[5].to_pylist(), columns[6].to_pylist()
+            found: list[tuple[int, float, int]] = []
+            for row in range(batch.num_rows):
+                if (g[row], part[row]) != key:
+                    key, held, done = (g[row], part[row]), [], None
+                if kind[row] == 0:
+                    held.append((lists[row][0], points[row].copy(), names[row]))
+                    continue
+                if done is None:
+                    held.sort(key=lambda x: x[0])
+                    where = np.array([x[0] for x in held], int)
+                    done = where, np.stack([x[1] for x in held]) if held else np.zeros((0, width)), [x[2] for x in held], np.array([x[2][0] for x in held], np.int64)
+                where, vectors, owners, names_of = done
+                chosen = np.array(lists[row])
+                begin, end = np.searchsorted(where, chosen), np.searchsorted(where, chosen, "right")
+                use = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)])
+                if len(use):
+                    use = use[np.unique(names_of[use], return_index=True)[1]]  # a vector that stands in two of the lists
+                    found += [(int(ids[row]), x, i) for x, i in _top(points[row], vectors[use], [owners[j] for j in use], k)]
+            if found:
+                q, score, vec = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(score, pa.float64()), pa.array(vec, pa.int64())], ["q", "score", "vec_id"])
+
+    return run
+
+
 def _top(q: np.ndarray, v: np.ndarray, ids: list, k: int):
     """The k best (distance, vec_id) of one query among the vectors with their id lists."""
     d = np.sqrt(((v - q) ** 2).sum(1))
@@ -155,8 +244,19 @@ def _top(q: np.ndarray, v: np.ndarray, ids: list, k: int):
     return sorted((float(d[j]), int(i)) for j in near for i in ids[j])[:k]
 
 
-def search(vectors: DataFrame, is_query, k: int = K, prune: float = PRUNE, list_size: int = LIST_SIZE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row for which `is_query` (a column) holds."""
+def build(unique: DataFrame, total: int, dims: int, k: int = K, prune: float | None = None, list_size: int = LIST_SIZE) -> tuple[CentroidGraph, float, float]:
+    """The lists' graph, the ratio and the usual distance, from a bounded sample of the different vectors (column v)."""
+    size = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dims)))
+    sample = np.array([r[0] for r in unique.orderBy(F.xxhash64("v"), "v").limit(size).select("v").collect()])
+    held = int(len(sample) * HELD_OUT)
+    graph = CentroidGraph(*balanced_lists(sample[held:], max(1, min(MOST_LISTS, round(total / list_size)))))
+    fitted, usual = fitted_prune(graph, sample[:held], total, k)
+    return graph, fitted if prune is None else prune, usual
+
+
+def search(vectors: DataFrame, is_query, k: int = K, prune: float | None = None, list_size: int = LIST_SIZE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row for which `is_query` (a column) holds. The
+    ratio `prune` is fitted where none is given."""
     spark = vectors.sparkSession
     rows = materialize(usable(vectors), "ann-rows")
     by_vector = Window.partitionBy("v").orderBy("vec_id")
@@ -169,43 +269,44 @@ def search(vectors: DataFrame, is_query, k: int = K, prune: float = PRUNE, list_
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    size = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dims)))
-    sample = np.array([r[0] for r in unique.orderBy(F.xxhash64("v"), "v").limit(size).select("v").collect()])
-    graph = CentroidGraph(kmeans(sample, max(1, min(MOST_LISTS, round(total / list_size)))))
-    shared = spark.sparkContext.broadcast(graph)  # MOST_LISTS centroids at most
-
-    def post(frames):
-        for frame in frames:
-            if len(frame):
-                frame["list"] = assign(np.stack(frame["v"].to_numpy()), shared.value.centres)
-                yield frame.explode("list").astype({"list": "int32"})[["list", "v", "ids"]]
-
-    def route(frames):
-        for frame in frames:
-            if len(frame):
-                frame["list"] = [shared.value.search(np.asarray(v), prune, LEAST_LISTS) for v in frame["v"]]
-                yield frame.explode("list").astype({"list": "int32"})[["list", "v", "q"]]
-
-    postings = materialize(unique.mapInPandas(post, "list int, v array<double>, ids array<long>"), "ann-postings")
-    routed = materialize(queries.mapInPandas(route, "list int, v array<double>, q long"), "ann-routed")
-    # MOST_LISTS rows at most
-    chunks = dict(postings.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int")).collect())
-    parts = dict(routed.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int")).collect())
-    lookup = lambda sizes: F.element_at(F.array(*[F.lit(sizes.get(i, 1)) for i in range(len(graph.centres))]), F.col("list") + 1)
-    all_of = lambda sizes: F.explode(F.sequence(F.lit(0), lookup(sizes) - 1))
-    left = routed.select("list", "v", "q", F.pmod(F.xxhash64("q"), lookup(parts)).cast("int").alias("part"), all_of(chunks).alias("chunk"))
-    right = postings.select("list", "v", "ids", F.pmod(F.xxhash64("v"), lookup(chunks)).cast("int").alias("chunk"), all_of(parts).alias("part"))
-
-    def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, float, int]] = []
-        if len(asked) and len(held):
-            v, ids = np.stack(held["v"].to_numpy()), held["ids"].tolist()
-            for q, point in zip(asked["q"], asked["v"], strict=True):
-                found += [(q, d, i) for d, i in _top(np.asarray(point), v, ids, k + 1)]
-        return pd.DataFrame(found, columns=["q", "score", "vec_id"]).astype({"q": "int64", "score": "float64", "vec_id": "int64"})
-
-    keys = ["list", "chunk", "part"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "q long, score double, vec_id long")
+    graph, prune, usual = build(unique, total, dims, k, prune, list_size)
+    groups = _groups(graph, total)
+    shared = spark.sparkContext.broadcast((graph, groups))  # MOST_LISTS centroids at most
+
+    def post(batches):
+        for batch in batches:
+            graph, groups = shared.value
+            if not batch.num_rows:
+                continue
+            lists = assign(np.array(batch.column("v").to_pylist()), graph)
+            which = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+            flat = np.concatenate([np.array(x) for x in lists])
+            own = pa.array(np.concatenate([np.arange(len(x)) == 0 for x in lists]))
+            yield pa.RecordBatch.from_arrays([pa.array(groups[flat].astype(np.int32)), pa.array(flat.astype(np.int32)), own, batch.column("v").take(which), batch.column("ids").take(which)], ["g", "list", "own", "v", "ids"])
+
+    postings = materialize(unique.select("v", "ids").mapInArrow(post, "g int, list int, own boolean, v array<double>, ids array<long>"), "ann-postings")
+    sizes = np.zeros(len(graph.centres), np.int64)
+    for i, n in postings.where("own").groupBy("list").agg(F.count("*")).collect():  # MOST_LISTS rows at most
+        sizes[i] = n
+
+    def route(batches):
+        for batch in batches:
+            graph, groups = shared.value
+            out: list[list] = [[], [], []]
+            for row, v in enumerate(batch.column("v").to_pylist()):
+                lists = np.array(sorted(graph.search(np.asarray(v), prune, usual, sizes, k + 1)))
+                for g in np.unique(groups[lists]).tolist():
+                    for column, x in zip(out, (g, row, lists[groups[lists] == g].tolist()), strict=True):
+                        column.append(x)
+            which = pa.array(out[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), batch.column("q").take(which), batch.column("v").take(which), pa.array(out[2], pa.list_(pa.int32()))], ["g", "q", "v", "lists"])
+
+    routed = materialize(queries.select("v", "q").mapInArrow(route, "g int, q long, v array<double>, lists array<int>"), "ann-routed")
+    parts = dict(routed.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int")).collect())  # a row a group
+    lookup = F.element_at(F.array(*[F.lit(parts.get(g, 1)) for g in range(int(groups[-1]) + 1)]), F.col("g") + 1)
+    held = postings.select("g", F.explode(F.sequence(F.lit(0), lookup - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "v", "ids", F.array("list").alias("lists"))
+    coming = routed.select("g", F.pmod(F.xxhash64("q"), lookup).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("q").alias("id"), "v", F.lit(None).cast("array<long>").alias("ids"), "lists")
+    met = held.unionByName(coming).repartition("g", "part").sortWithinPartitions("g", "part", "kind").mapInArrow(_meeting(k + 1), "q long, score double, vec_id long")
     once = met.groupBy("q", "vec_id").agg(F.min("score").alias("score"))
     ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
     best = materialize(ranked.join(queries, "q").select("v", "vec_id", "score"), "ann-best")
