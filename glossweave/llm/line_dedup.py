@@ -9,11 +9,13 @@ consecutive words (across line ends) that occur earlier, and a line of which all
 Winnowing: every minimal stretch of whole lines with at least `min_words` words is a window, and the least line
 hash in it is selected as its fingerprint; one position is a fingerprint for all windows around it. Inside
 lines, the units are grams of GRAM words, a window is `min_words` words, and the least gram hash in it is
-selected. So any two occurrences of a run select a fingerprint in common. Only the selected positions are written
-and grouped; only those whose fingerprint stands at two places go on. Around these the windows they were
-selected for are read again, and each is joined by its content with the earliest place of that content. Windows that
-match are extended both ways by the next matching ones to the maximal run, and all words of it are cut. No
-pairs are formed: a fingerprint or window that very many documents share costs one row an occurrence.
+selected. So any two occurrences of a run select a fingerprint in common. Only the selected positions are written,
+each with the words it reaches both ways (the windows it was selected for are one stretch) and a hash of that
+reach. Positions are joined by fingerprint and reach with the earliest one: all later ones are repeated over their whole
+reach, and matches that follow one another make up the maximal run. Where positions of one
+fingerprint reach differently, at the ends of runs, the earliest of each kind of reach gives up its single
+windows, and these are joined by content. So the result is exact, no pairs are formed, and a
+fingerprint that very many documents share costs one row an occurrence.
 
 Defined cases: null texts stay null and empty ones empty; lines without words belong to no run, and are
 deleted along with the line before them; rows with the same doc_id and text are one document and get the
@@ -36,7 +38,8 @@ from .common import internal, materialize
 
 MIN_WORDS = 50
 GRAM = 8
-_SLAB = 1 << 15
+_SLAB = 1 << 18
+_MEMO = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -74,8 +77,20 @@ def windows_of(lines: list[tuple[int, int, int]], min_words: int = MIN_WORDS) ->
     return found
 
 
+class _Memo(dict):
+    """Hashes of words seen lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_HASHES = _Memo()
+
+
 class Windows:
-    """The windows of a text in word numbers: first, last (exclusive), content hash, and the fingerprint with its word number."""
+    """The windows of a text in word numbers: first, last (exclusive), content hash, and the fingerprint with its
+    word number; in the order of the latter."""
 
     def __init__(self, first, last, content, fp, at):
         self.first, self.last, self.content, self.fp, self.at = first, last, content, fp, at
@@ -90,6 +105,7 @@ def line_windows(text: str | None, min_words: int = MIN_WORDS) -> Windows:
     for a, b in sorted(windows_of(lines, min_words)):
         k = a + int(hashes[a : b + 1].argmin())
         rows.append((begin[a], begin[b + 1], xxhash.xxh64_intdigest(hashes[a : b + 1].tobytes()), int(hashes[k]), begin[k]))
+    rows.sort(key=lambda r: (r[4], r[0], r[1]))
     columns = list(zip(*rows, strict=True)) or [()] * 5
     return Windows(*(np.array(c, t) for c, t in zip(columns, (np.int64, np.int64, np.uint64, np.uint64, np.int64), strict=True)))
 
@@ -112,6 +128,18 @@ def _rolled(words: np.ndarray, n: int) -> np.ndarray:
         power = power[:m] + np.uint64(pow(_BASE, size // 2, 1 << 64)) * power[size // 2 :]
 
 
+def _minima(values: np.ndarray, width: int) -> np.ndarray:
+    """For each stretch of `width` values the place of the least (by its upper bits), the first of equal ones."""
+    place = np.uint64(2 * _SLAB - 1)
+    least, size = (values & ~place) | np.arange(len(values), dtype=np.uint64), 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if size < width:
+        least = np.minimum(least[: len(least) - width + size], least[width - size :])
+    return (least & place).astype(np.int64)
+
+
 def _finished(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -124,78 +152,109 @@ def word_windows(text: str | None, min_words: int = MIN_WORDS) -> Windows:
     if n < min_words:
         none = np.zeros(0, np.int64)
         return Windows(none, none, none.astype(np.uint64), none.astype(np.uint64), none)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    if len(_HASHES) > _MEMO:
+        _HASHES.clear()
     grams, width = _finished(_rolled(hashes, gram)), min_words - gram + 1
     first = np.arange(n - min_words + 1)
-    at = np.concatenate([k + np.lib.stride_tricks.sliding_window_view(grams[k : k + _SLAB + width - 1], width).argmin(1) + np.arange(len(first[k : k + _SLAB])) for k in range(0, len(first), _SLAB)])
+    at = np.concatenate([k + _minima(grams[k : k + _SLAB + width - 1], width) for k in range(0, len(first), _SLAB)])
     return Windows(first, first + min_words, _finished(_rolled(hashes, min_words)), grams[at], at)
 
 
 _KINDS = (line_windows, word_windows)
 
 
-def _positions(texts: DataFrame, min_words: int, kinds: int) -> DataFrame:
-    """doc_id, tie, kind, at, fp: the selected positions."""
+def reaches(w: Windows, kind: int) -> tuple[np.ndarray, ...]:
+    """Per selected position: word number, fingerprint, first and last of its reach, hash of the reach."""
+    at, begin = np.unique(w.at, return_index=True)
+    if not len(at):
+        return at, w.fp, w.first, w.last, w.fp
+    end = np.append(begin[1:], len(w.at)) - 1
+    if kind:  # windows follow word by word and overlap, so the outer two tell them all
+        return at, w.fp[begin], w.first[begin], w.last[end], _finished(w.content[begin] * np.uint64(3) + w.content[end] * np.uint64(_BASE) + (end - begin).astype(np.uint64))
+    off = np.stack([w.first - w.at, w.last - w.at, w.content.view(np.int64)], axis=1)
+    whole = np.array([xxhash.xxh64_intdigest(np.ascontiguousarray(off[a : b + 1]).tobytes()) for a, b in zip(begin, end, strict=True)], np.uint64)
+    return at, w.fp[begin], np.minimum.reduceat(w.first, begin), np.maximum.reduceat(w.last, begin), whole
 
-    def run(batches):
-        for batch in batches:
-            for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for kind in range(kinds):
-                    w = _KINDS[kind](text, min_words)
-                    at, which = np.unique(w.at, return_index=True)
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([d] * len(at), pa.int64()), pa.array([t] * len(at), pa.int64()), pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(w.fp[which].view(np.int64))], ["doc_id", "tie", "kind", "at", "fp"])
 
-    return texts.mapInArrow(_gathered(run), "doc_id long, tie long, kind int, at long, fp long")
+def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """A batch of rows (doc_id, tie, kind, arrays of one length)."""
+    sizes = [len(r[3]) for r in rows]
+    owner = pa.array(np.repeat(np.arange(len(rows)), sizes))
+    ids, ties = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())
+    columns = [np.concatenate([r[k] for r in rows]) for k in range(3, len(names))]
+    plain = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays([ids.take(owner), ties.take(owner), pa.array(np.repeat([r[2] for r in rows], sizes).astype(np.int32)), *plain], names)
 
 
-def _gathered(run):
-    """`run` with its many small batches put together."""
+def _gathered(run, names: list[str]):
+    """Rows of `run`, a few texts a batch."""
 
     def whole(batches):
         held, size = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 20_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
+        for batch in batches:
+            for row in run(batch):
+                if len(row[3]):
+                    held.append(row)
+                    size += len(row[3])
+                if size >= 20_000:
+                    yield _table(held, names)
+                    held, size = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield _table(held, names)
 
     return whole
 
 
+def _positions(texts: DataFrame, min_words: int, kinds: int) -> DataFrame:
+    """doc_id, tie, kind, at, fp, first, last, reach: the selected positions."""
+
+    def run(batch):
+        for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for kind in range(kinds):
+                yield d, t, kind, *reaches(_KINDS[kind](text, min_words), kind)
+
+    names = ["doc_id", "tie", "kind", "at", "fp", "first", "last", "reach"]
+    return texts.mapInArrow(_gathered(run, names), "doc_id long, tie long, kind int, at long, fp long, first long, last long, reach long")
+
+
 def _windows(texts: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, tie, first, last, key (fingerprint and content) of the windows selected for the positions `chosen` of each text."""
+    """doc_id, tie, kind, first, last, fp, content of the windows selected for the positions `chosen` of each text."""
 
-    def run(batches):
-        for batch in batches:
-            for d, t, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                for kind in {x["kind"] for x in chosen}:
-                    w = _KINDS[kind](text, min_words)
-                    use = np.isin(w.at, [x["at"] for x in chosen if x["kind"] == kind])
-                    n = int(use.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(w.first[use]), pa.array(w.last[use]), pa.array(np.full(n, kind, np.int32)), pa.array(w.fp[use].view(np.int64)), pa.array(w.content[use].view(np.int64))], ["doc_id", "tie", "first", "last", "kind", "fp", "content"])
+    def run(batch):
+        for d, t, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for kind in {x["kind"] for x in chosen}:
+                w = _KINDS[kind](text, min_words)
+                use = np.isin(w.at, [x["at"] for x in chosen if x["kind"] == kind])
+                yield d, t, kind, w.first[use], w.last[use], w.fp[use], w.content[use]
 
-    return texts.mapInArrow(_gathered(run), "doc_id long, tie long, first long, last long, kind int, fp long, content long")
+    names = ["doc_id", "tie", "kind", "first", "last", "fp", "content"]
+    return texts.mapInArrow(_gathered(run, names), "doc_id long, tie long, kind int, first long, last long, fp long, content long")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
-    """doc_id, tie (hash of the text), first, last: the words of windows that occur earlier, as numbers from 0, last exclusive."""
+    """doc_id, tie (hash of the text), first, last: words of stretches that occur earlier, as numbers from 0, last exclusive."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
     selected = materialize(_positions(texts, min_words, 2 if inside_lines else 1), "lines-positions")
-    spot = F.struct("doc_id", "tie", "at")
-    shared = selected.groupBy("kind", "fp").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("kind", "fp")
-    shared = materialize(shared, "lines-shared")  # so that both sides are shuffled plainly and a hot one can be split
-    near = selected.join(shared, ["kind", "fp"], "left_semi").select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("u"), F.col("tie").alias("t"), F.struct("kind", "at").alias("p"))
-    chosen = materialize(near.groupBy("d", "u", "t").agg(F.collect_set("p").alias("chosen")), "lines-chosen")  # a text's own positions
-    once = texts.select("*", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("u"), F.col("tie").alias("t")).join(chosen, ["d", "u", "t"])
+    place = F.struct("doc_id", "tie", "at")
+    found = selected.groupBy("kind", "fp", "reach").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    classes = materialize(found.select("kind", "fp", "reach", "a", (F.col("a") < F.col("b")).alias("shared")), "lines-classes")
+    # both sides of the joins are written tables, shuffled plainly, so that a hot key can be split
+    later = selected.join(classes.where("shared").select("kind", "fp", "reach", "a"), ["kind", "fp", "reach"]).where(place > F.col("a")).select("doc_id", "tie", "first", "last")
+    several = materialize(classes.groupBy("kind", "fp").agg(F.count("*").alias("n")).where("n > 1").select("kind", "fp"), "lines-several")
+    ends = classes.join(several, ["kind", "fp"], "left_semi").select(*_plain("a.doc_id", "a.tie"), F.struct("kind", F.col("a.at").alias("at")).alias("p"))
+    chosen = materialize(ends.groupBy("d", "u", "t").agg(F.collect_set("p").alias("chosen")), "lines-chosen")  # a text's own positions
+    once = texts.select("*", *_plain("doc_id", "tie")).join(chosen, ["d", "u", "t"])
     windows = materialize(_windows(once.select("doc_id", "tie", "text", "chosen"), min_words), "lines-windows")
-    place = F.struct("doc_id", "tie", "first")
-    key = ["kind", "fp", "content"]
-    earliest = windows.groupBy(*key).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select(*key, "a")
-    return windows.join(materialize(earliest, "lines-earliest"), key).where(place > F.col("a")).select("doc_id", "tie", "first", "last")
+    begin, key = F.struct("doc_id", "tie", "first"), ["kind", "fp", "content"]
+    earliest = windows.groupBy(*key).agg(F.min(begin).alias("a"), F.max(begin).alias("b")).where("a <> b").select(*key, "a")
+    again = windows.join(materialize(earliest, "lines-earliest"), key).where(begin > F.col("a")).select("doc_id", "tie", "first", "last")
+    return later.unionByName(again)
+
+
+def _plain(doc_id: str, tie: str) -> list:
+    """Join keys without nulls for a document: d, u (no doc_id), t."""
+    return [F.coalesce(F.col(doc_id), F.lit(-1)).alias("d"), F.col(doc_id).isNull().alias("u"), F.col(tie).alias("t")]
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:

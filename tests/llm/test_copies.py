@@ -327,6 +327,6 @@ def test_only_minima_are_selected():
 def test_line_dedup_of_null_ids_long_texts_and_clashing_names(spark):
     long = " ".join(f"t{k}" for k in range(120_000))
     rows = [(None, long, "a"), (3, long + " end", "b"), (3, "short", "c")]
-    data = spark.createDataFrame(rows, "doc_id long, text string, __runs string").withColumnRenamed("doc_id", "doc_id")
+    data = spark.createDataFrame(rows, "doc_id long, text string, __runs string")
     got = {r["__runs"]: r for r in line_dedup.dedup_lines(data, inside_lines=True).collect()}
     assert (got["a"].text, got["b"].text, got["c"].text) == (long, "end", "short")
