@@ -39,11 +39,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write `df` to the shared folder and read it again."""
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Cut lineage: write `df` to the shared folder and read it again. `release` has the driver collect garbage
+    then, upon which Spark deletes the shuffle files of the steps that are over."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,15 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-The markup is stripped into lines, one for each block; a block inside a menu, header, footer, sidebar,
-notice, advert, form, comment list, script or style leaves an empty line. The text lengths (link text
-apart) are summed over a sliding window of lines. A surge is a line whose window reaches the threshold,
-a dive is where the window falls to nothing again; the text between them is kept. A page that marks its
-article (`article`, or `main`) confines the search to the one with most text, where the threshold is a
-single character, so short paragraphs stay; elsewhere it is a share of the fullest window.
-
-Defined cases: null or empty html gives an empty text; text outside any tag counts as a block; tags that
-are never closed end at their parent's end or the page's; ties between equally long articles go to the
-first; repeated rows are handled alike; other columns of the input are ignored.
+The markup is stripped into lines, one for each block. Menus, headers, footers, sidebars, notices, adverts,
+forms, comment lists, scripts and styles leave a gap of empty lines; other empty lines go. Every line has a
+weight: the length of its text, or nothing where most of it is link text. Tags are priors on it: on a page with
+articles (`article` or `main`), lines of the one with most text weigh three times their length and `LEAST` more,
+all others a fifth, and a gap parts the two. The weights are summed over a sliding window of lines. Where the
+sums leave zero and reach `LEAST` (or the fullest window, if that is less) they surge, where they
+fall to zero again they dive. The text from surge to dive is kept; on a page with articles only if it weighs at least `SHARE` of the heaviest
+such stretch.
+
+What the class, id and role of an element say drops it outside an article. Inside one, elements that hold text
+(paragraphs, headings, list items and the like) stay whatever their class; a container goes if its class names
+an advert, a notice of cookies, comments or the like in whole words, and link lines of containers that may be
+extras (`related`, `share`) weigh nothing anyhow.
+
+Defined cases: null or empty html gives an empty text; text outside any tag counts as a block; elements that
+are never closed end at their parent's end, and unwanted ones of these also where an article begins; ties between
+equally long articles go to the first; repeated rows are handled alike; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SHARE = 0.15
 LEAST = 40
-LINKED = 0.5
+INSIDE, OUTSIDE = 3.0, 0.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -45,6 +52,12 @@ _HINT = re.compile(
     re.I,
 )
 _HEAD_HINT = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
+#: Class words that drop a container inside an article.
+_JUNK = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored cookie cookies cookie-notice cookie-banner consent gdpr popup modal overlay newsletter subscribe sidebar navbar navigation breadcrumb breadcrumbs"
+    " comment comments comment-list commentlist comments-area disqus respond replies pagination signup login outbrain taboola hidden".split()
+)
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre span b i em strong a td th tr dt dd figcaption caption tbody thead table".split())
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
@@ -62,125 +75,164 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
         if kind.lower() == "role":
             if value.lower() in _ROLES:
                 return True
-        elif _HINT.search(value) or not inside and _HEAD_HINT.search(value):
+        elif inside:
+            if name not in _TEXT and not _JUNK.isdisjoint(value.lower().split()):
+                return True
+        elif _HINT.search(value) or _HEAD_HINT.search(value):
             return True
     return False
 
 
-class _Line:
-    __slots__ = ("parts", "linked", "path")
-
-    def __init__(self, path: tuple[int, ...]):
-        self.parts: list[str] = []
-        self.linked = 0
-        self.path = path
+_CLOSES_P = _BLOCKS - {"body", "tr", "td", "tbody", "thead", "tfoot", "caption", "legend", "summary", "html"}
 
 
 def _closings(tokens: list) -> dict[int, int]:
-    """Start tag's index to its end tag's; loose tags also end at the next of their kind."""
-    open_: dict[str, list[int]] = {}
+    """Start tag's index to the index where its element ends: its end tag, or where its parent ends."""
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
     closed: dict[int, int] = {}
+
+    def pop(k: int) -> str:
+        name, at = stack.pop()
+        count[name] -= 1
+        closed[at] = k
+        return name
+
     for k, (_, _, end, name, _) in enumerate(tokens):
         if name is None or name in _VOID:
             continue
-        stack = open_.setdefault(name, [])
         if end:
-            if stack:
-                closed[stack.pop()] = k
+            if count.get(name):
+                while pop(k) != name:
+                    pass
         else:
-            if name in _LOOSE and stack and name in ("p", "option"):
-                closed[stack.pop()] = k
-            stack.append(k)
+            if name in _CLOSES_P and stack and stack[-1][0] == "p":
+                pop(k)
+            elif name in ("li", "option", "dt", "dd") and stack and stack[-1][0] in (("dt", "dd") if name[0] == "d" else (name,)):
+                pop(k)
+            stack.append((name, k))
+            count[name] = count.get(name, 0) + 1
+    while stack:
+        pop(len(tokens))
     return closed
 
 
-def lines_of(source: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[int]]:
-    """Lines (text, length of its link text, indices of the articles around it); all article indices."""
+class _Line:
+    __slots__ = ("parts", "linked", "path", "gap")
+
+    def __init__(self, path: tuple[int, ...], gap: bool = False):
+        self.parts: list[str] = []
+        self.linked = 0
+        self.path = path
+        self.gap = gap
+
+
+def lines_of(source: str) -> tuple[list[tuple[str, int, tuple[int, ...], bool]], list[int]]:
+    """Lines (text, length of its link text, indices of the articles around it, whether it stands for a dropped
+    element); all article indices."""
     tokens = []
     for m in _TOKEN.finditer(source):
         name = m.group(3)
         tokens.append((m.start(), m.end(), bool(m.group(2)), name.lower() if name else None, m.group(4) or ""))
     closed = _closings(tokens)
+    articles = [k for k, t in enumerate(tokens) if t[3] in ("article", "main") and not t[2]]
     lines: list[_Line] = []
     zones: list[int] = []
     around: list[tuple[int, int]] = []
-    current, at, skip, link = _Line(()), 0, -1, 0
-
-    def text(upto: int) -> None:
-        if upto > at and skip < 0:
-            piece = source[at:upto]
+    current, at, skip, link, ahead = _Line(()), 0, -1, 0, 0
+    for k, (begin, stop, end, name, attributes) in enumerate(tokens):
+        if skip >= 0 and k >= skip:
+            skip = -1
+            at = max(at, begin)
+        if skip < 0 and begin > at:
+            piece = source[at:begin]
             current.parts.append(piece)
             if link:
                 current.linked += len(piece.strip())
-
-    for k, (begin, stop, end, name, attributes) in enumerate(tokens):
-        text(begin)
         at = stop
-        if around and k >= around[-1][1]:
+        while around and k >= around[-1][1]:
             around.pop()
         path = tuple(z for z, _ in around)
         if name is None:
-            if skip < 0 and source.startswith("<", begin) and source[begin + 1 : begin + 2] not in "!?":
+            if skip < 0 and source[begin + 1 : begin + 2] not in "!?":
                 current.parts.append(" ")
             continue
         if skip >= 0:
-            if k >= skip:
-                skip = -1
-                if name in _LOOSE and not end:
-                    pass
-                else:
-                    lines.append(current)
-                    current = _Line(path)
-                    continue
-            else:
-                if name in _BLOCKS:
-                    lines.append(_Line(path))
-                continue
-        if not end and name not in _VOID and _unwanted(name, attributes, bool(around)) and (k in closed or name in _LOOSE):
-            skip = closed.get(k, len(tokens))
-            lines.append(current)
-            lines.append(_Line(path))
-            current = _Line(path)
             continue
-        if name == "a":
+        if not end and name not in _VOID and _unwanted(name, attributes, bool(around)):
+            skip = closed[k]
+            if skip >= len(tokens) or not (tokens[skip][2] and tokens[skip][3] == name):  # never closed
+                while ahead < len(articles) and articles[ahead] <= k:
+                    ahead += 1
+                if ahead < len(articles):
+                    skip = min(skip, articles[ahead])
+            lines += [current, _Line(path, True)]
+            current = _Line(path)
+        elif name == "a":
             link = 0 if end else 1
         elif name in _BLOCKS:
             lines.append(current)
             if not end and name in ("article", "main"):
                 zones.append(k)
-                around.append((k, closed.get(k, len(tokens))))
+                around.append((k, closed[k]))
                 path = tuple(z for z, _ in around)
             current = _Line(path)
         elif name in ("br", "td", "th", "img"):
             current.parts.append(" ")
-    text(len(source))
+    if skip < 0:
+        current.parts.append(source[at:])
     lines.append(current)
-    return [(" ".join(html.unescape("".join(x.parts)).split()), x.linked, x.path) for x in lines], zones
+    return [(" ".join(html.unescape("".join(x.parts)).split()), x.linked, x.path, x.gap) for x in lines], zones
 
 
-def main_text(source: str | None, window: int = WINDOW, share: float = SHARE) -> str:
-    """The blocks of the main text, joined by an empty line."""
+def main_text(source: str | None, window: int = WINDOW, share: float = SHARE, use_articles: bool = True) -> str:
+    """The blocks of the main text, joined by an empty line. Without `use_articles` the distribution has no prior."""
     lines, zones = lines_of(source or "")
-    if zones:
-        sizes = {z: sum(len(t) for t, _, path in lines if z in path) for z in zones}
+    best = None
+    if zones and use_articles:
+        sizes = dict.fromkeys(zones, 0)
+        for t, _, path, _ in lines:
+            for z in path:
+                sizes[z] += len(t)
         best = max(zones, key=lambda z: (sizes[z], -z))
-        lines = [x for x in lines if best in x[2]] if sizes[best] else lines
-        zones = zones if sizes[best] else []
-    lengths = [len(t) if zones or 2 * linked <= len(t) else 0 for t, linked, _ in lines]
+        best = best if sizes[best] else None
+    texts: list[str] = []
+    weights: list[float] = []
+    outer: list[bool] = []
+    for t, linked, path, gap in lines:
+        inner = best is None or best in path
+        weight = len(t) if 2 * linked <= len(t) else 0
+        if best is not None and weight:
+            weight = INSIDE * weight + LEAST if inner else OUTSIDE * weight
+        if gap or outer and outer[-1] != inner:
+            texts += [""] * window
+            weights += [0.0] * window
+            outer += [inner] * window
+        if t:
+            texts.append(t)
+            weights.append(weight)
+            outer.append(inner)
     half = window // 2
-    sums = [sum(lengths[max(0, k - half) : k + half + 1]) for k in range(len(lengths))]
-    need = 1 if zones else min(max(sums, default=0), max(LEAST, share * max(sums, default=0)))
-    kept: list[str] = []
+    ends = [0.0]
+    for w in weights:
+        ends.append(ends[-1] + w)
+    n = len(weights)
+    sums = [ends[min(n, k + half + 1)] - ends[max(0, k - half)] for k in range(n)]
+    need = min(max(sums, default=0), LEAST)
+    stretches: list[tuple[float, int, int]] = []
     k = 0
-    while k < len(lines):
-        if not sums[k] or sums[k] < need:
+    while k < n:
+        if sums[k] <= 0:
             k += 1
             continue
         dive = k
-        while dive < len(lines) and sums[dive]:
+        while dive < n and sums[dive] > 0:
             dive += 1
-        kept += [t for (t, _, _), n in zip(lines[k:dive], lengths[k:dive], strict=False) if n]
+        if max(sums[k:dive]) >= need:
+            stretches.append((ends[dive] - ends[k], k, dive))
         k = dive
+    most = max((x for x, _, _ in stretches), default=0)
+    kept = [t for x, a, b in stretches if best is None or x >= share * most for t, w in zip(texts[a:b], weights[a:b], strict=True) if w]
     return "\n\n".join(kept)
 
 

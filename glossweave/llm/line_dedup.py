@@ -39,7 +39,6 @@ from .common import internal, materialize
 MIN_WORDS = 50
 GRAM = 8
 _SLAB = 1 << 18
-_MEMO = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -77,17 +76,6 @@ def windows_of(lines: list[tuple[int, int, int]], min_words: int = MIN_WORDS) ->
     return found
 
 
-class _Memo(dict):
-    """Hashes of words seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_HASHES = _Memo()
-
-
 class Windows:
     """The windows of a text in word numbers: first, last (exclusive), content hash, and the fingerprint with its
     word number; in the order of the latter."""
@@ -152,9 +140,7 @@ def word_windows(text: str | None, min_words: int = MIN_WORDS) -> Windows:
     if n < min_words:
         none = np.zeros(0, np.int64)
         return Windows(none, none, none.astype(np.uint64), none.astype(np.uint64), none)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
-    if len(_HASHES) > _MEMO:
-        _HASHES.clear()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     grams, width = _finished(_rolled(hashes, gram)), min_words - gram + 1
     first = np.arange(n - min_words + 1)
     at = np.concatenate([k + _minima(grams[k : k + _SLAB + width - 1], width) for k in range(0, len(first), _SLAB)])
@@ -236,19 +222,21 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, inside_lines: boo
     """doc_id, tie (hash of the text), first, last: words of stretches that occur earlier, as numbers from 0, last exclusive."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
     selected = materialize(_positions(texts, min_words, 2 if inside_lines else 1), "lines-positions")
+    twice = materialize(selected.groupBy("kind", "fp").agg(F.count("*").alias("n")).where("n > 1").select("kind", "fp"), "lines-twice")
+    # both sides of the joins are written tables, shuffled plainly, so that a hot key can be split
+    selected = materialize(selected.join(twice, ["kind", "fp"], "left_semi"), "lines-shared", release=True)
     place = F.struct("doc_id", "tie", "at")
     found = selected.groupBy("kind", "fp", "reach").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    classes = materialize(found.select("kind", "fp", "reach", "a", (F.col("a") < F.col("b")).alias("shared")), "lines-classes")
-    # both sides of the joins are written tables, shuffled plainly, so that a hot key can be split
+    classes = materialize(found.select("kind", "fp", "reach", "a", (F.col("a") < F.col("b")).alias("shared")), "lines-classes", release=True)
     later = selected.join(classes.where("shared").select("kind", "fp", "reach", "a"), ["kind", "fp", "reach"]).where(place > F.col("a")).select("doc_id", "tie", "first", "last")
     several = materialize(classes.groupBy("kind", "fp").agg(F.count("*").alias("n")).where("n > 1").select("kind", "fp"), "lines-several")
     ends = classes.join(several, ["kind", "fp"], "left_semi").select(*_plain("a.doc_id", "a.tie"), F.struct("kind", F.col("a.at").alias("at")).alias("p"))
     chosen = materialize(ends.groupBy("d", "u", "t").agg(F.collect_set("p").alias("chosen")), "lines-chosen")  # a text's own positions
     once = texts.select("*", *_plain("doc_id", "tie")).join(chosen, ["d", "u", "t"])
-    windows = materialize(_windows(once.select("doc_id", "tie", "text", "chosen"), min_words), "lines-windows")
+    windows = materialize(_windows(once.select("doc_id", "tie", "text", "chosen"), min_words), "lines-windows", release=True)
     begin, key = F.struct("doc_id", "tie", "first"), ["kind", "fp", "content"]
     earliest = windows.groupBy(*key).agg(F.min(begin).alias("a"), F.max(begin).alias("b")).where("a <> b").select(*key, "a")
-    again = windows.join(materialize(earliest, "lines-earliest"), key).where(begin > F.col("a")).select("doc_id", "tie", "first", "last")
+    again = windows.join(materialize(earliest, "lines-earliest", release=True), key).where(begin > F.col("a")).select("doc_id", "tie", "first", "last")
     return later.unionByName(again)
 
 

@@ -255,3 +255,34 @@ def test_columns_named_like_internal_ones(spark):
     docs = spark.createDataFrame([(1, text, "a", 2, "b", 3)], "doc_id long, text string, __words string, __hit long, __kept string, __spans int")
     got = decontam.decontaminate(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()
     assert [tuple(r) for r in got] == [(1, text[len(passage) + 1 :], "a", 2, "b", 3)]
+
+
+def test_pages_of_the_table_without_article_tags(spark):
+    """The distribution alone finds what it finds with the tags as a prior."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        bare = re.sub(r"</?(article|main)\b[^>]*>", "", r.html)
+        assert html_extract.main_text(bare) == html_extract.main_text(r.html) == html_extract.main_text(r.html, use_articles=False)
+
+
+PROSE = "A paragraph of the article that is long enough to stand out among the other lines of the page. " * 2
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # class names of text inside an article drop nothing, containers of junk go
+        (f"<article><p class='share price'>{PROSE}</p><p class='related'>b</p><p class=promo-code>c</p><div class='notice-board'>d</div><div class='ad'>x</div></article>", f"{PROSE.strip()}\n\nb\n\nc\n\nd"),
+        # an aside without end tag ends with its parent
+        (f"<article><p>{PROSE}</p><section><p>one</p><aside>side <p>more</p></section><p>two</p></article>", f"{PROSE.strip()}\n\none\n\ntwo"),
+        # an unclosed advert before the article ends where that begins
+        (f"<body><div class=ad>buy<article><p>{PROSE}</p></article>", PROSE.strip()),
+        # wrapped paragraphs, short ones and headings among them, without an article
+        (f"<div><div><h2>Head</h2></div><div><p>{PROSE}</p></div><div><div><p>short</p></div></div><div><p>{PROSE}</p></div></div>", f"Head\n\n{PROSE.strip()}\n\nshort\n\n{PROSE.strip()}"),
+        # long text outside the article, lists of links inside
+        (f"<div>{PROSE * 3}</div><article><h1>T</h1><p>{PROSE * 4}</p><ul><li><a>see here</a></li></ul></article><div>{PROSE}</div>", f"T\n\n{(PROSE * 4).strip()}"),
+        # a very long text
+        ("<p>" + "word " * 200_000 + "</p><p>end</p>", ("word " * 200_000).strip() + "\n\nend"),
+    ],
+)
+def test_distribution_of_lines(html, text):
+    assert html_extract.main_text(html) == text
