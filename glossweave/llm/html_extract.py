@@ -6,7 +6,7 @@ weight: the length of its text, or nothing where most of it is link text. Tags a
 articles (`article` or `main`), lines of the one with most text weigh three times their length and `LEAST` more,
 all others a fifth, and a gap parts the two. The weights are summed over a sliding window of lines. Where the
 sums leave zero and reach `LEAST` (or the fullest window, if that is less) they surge, where they
-fall to zero again they dive. The text from surge to dive is kept; on a page with articles only if it weighs at least `SHARE` of the heaviest
+fall to zero again they dive. The text from surge to dive is kept; outside the article only if it weighs at least `SHARE` of the heaviest
 such stretch.
 
 What the class, id and role of an element say drops it outside an article. Inside one, elements that hold text
@@ -198,20 +198,20 @@ def main_text(source: str | None, window: int = WINDOW, share: float = SHARE, us
         best = best if sizes[best] else None
     texts: list[str] = []
     weights: list[float] = []
-    outer: list[bool] = []
+    inside: list[bool] = []
     for t, linked, path, gap in lines:
         inner = best is None or best in path
         weight = len(t) if 2 * linked <= len(t) else 0
         if best is not None and weight:
             weight = INSIDE * weight + LEAST if inner else OUTSIDE * weight
-        if gap or outer and outer[-1] != inner:
+        if gap or inside and inside[-1] != inner:
             texts += [""] * window
             weights += [0.0] * window
-            outer += [inner] * window
+            inside += [inner] * window
         if t:
             texts.append(t)
             weights.append(weight)
-            outer.append(inner)
+            inside.append(inner)
     half = window // 2
     ends = [0.0]
     for w in weights:
@@ -232,7 +232,7 @@ def main_text(source: str | None, window: int = WINDOW, share: float = SHARE, us
             stretches.append((ends[dive] - ends[k], k, dive))
         k = dive
     most = max((x for x, _, _ in stretches), default=0)
-    kept = [t for x, a, b in stretches if best is None or x >= share * most for t, w in zip(texts[a:b], weights[a:b], strict=True) if w]
+    kept = [t for x, a, b in stretches if best is None or inside[a] or x >= share * most for t, w in zip(texts[a:b], weights[a:b], strict=True) if w]
     return "\n\n".join(kept)
 
 
