@@ -80,8 +80,11 @@ def ordered_join(position: Column, value: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position.alias("p"), value.alias("v")))), lambda x: x["v"]), separator)
 
 
+NUMBER = "([0-9]+)"
+
+
 def parse_range(text: Column) -> Column:
     """'2-5', '2:5' or '3' as a (first, last) struct; null where nothing is given."""
-    numbers = F.regexp_extract_all(text, F.lit(r"([0-9]+)"), F.lit(1))
+    numbers = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1))
     first = F.try_element_at(numbers, F.lit(1)).cast("int")
     return F.when(first.isNotNull(), F.struct(first.alias("first"), F.coalesce(F.try_element_at(numbers, F.lit(2)).cast("int"), first).alias("last")))

@@ -1,8 +1,9 @@
 """Monotone alignment of two ordered sequences: a join that Catalyst has no operator for.
 
-Each block (one key) is aligned by dynamic programming in `cogroup(...).applyInPandas`. The grid is swept
+Each block (one key) is one row with both sides' segments, aligned by dynamic programming in `mapInArrow`. A small
+grid is filled with plain numbers after one vectorised cost table a step; a large one is swept
 by anti-diagonals with numpy, so four diagonals of costs and one byte a cell of back-pointers are held.
-A block is one task; n x m cells of it must fit there (`max_cells` refuses larger ones by name).
+A block's n x m cells must fit in a task (`max_cells` refuses larger ones by name, before anything is made).
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.numeric import LEAST_PROBABILITY, LENGTH_VARIANCE, STEP_PRIORS
 
@@ -27,6 +30,7 @@ DIVISION_STEPS: tuple[Step, ...] = ((1, 1), (1, 0), (0, 1))
 #: The cost of leaving a segment alone, and of each segment beyond one to one.
 NULL_COST, MERGE_COST = 0.85, 0.15
 MAX_CELLS = 2_000_000_000
+SMALL_CELLS = 4_096
 #: Among equal costs the first of these stands.
 _PREFERENCE: tuple[Step, ...] = ((2, 2), (2, 1), (1, 2), (1, 1), (1, 0), (0, 1))
 _WORD = re.compile(r"[^\W\d_]+")
@@ -34,11 +38,45 @@ _WORD = re.compile(r"[^\W\d_]+")
 Cost = Callable[[Step, np.ndarray, np.ndarray], np.ndarray]
 
 
-def shortest_path(n: int, m: int, cost: Cost, steps: Sequence[Step], max_cells: int = MAX_CELLS) -> list[tuple[int, int, int, int]]:
-    """(i, j, ds, dt) of the cheapest monotone path from (0, 0) to (n, m); cost(step, i, j) of steps from (i, j)."""
+def refuse_large(n: int, m: int, max_cells: int = MAX_CELLS) -> None:
+    """Before anything of that size is made."""
     if (n + 1) * (m + 1) > max_cells:
         raise ValueError(f"a block of {n} x {m} segments exceeds {max_cells} cells; divide it first")
+
+
+def _small_path(n: int, m: int, cost: Cost, order: Sequence[Step]) -> list[tuple[int, int, int, int]]:
+    """The same path over a small grid: all costs of a step at once, then plain numbers."""
+    costs = []
+    for ds, dt in order:
+        rows, columns = n - ds + 1, m - dt + 1
+        if rows > 0 and columns > 0:
+            i, j = np.divmod(np.arange(rows * columns), columns)
+            costs.append((ds, dt, columns, cost((ds, dt), i, j).tolist()))
+    width = m + 1
+    best, came = [math.inf] * ((n + 1) * width), [(0, 0)] * ((n + 1) * width)
+    best[0] = 0.0
+    for i in range(n + 1):
+        for j in range(width):
+            at = i * width + j
+            for ds, dt, columns, table in costs:
+                if i >= ds and j >= dt:
+                    value = best[at - ds * width - dt] + table[(i - ds) * columns + j - dt]
+                    if value < best[at]:
+                        best[at], came[at] = value, (ds, dt)
+    path, i, j = [], n, m
+    while i or j:
+        ds, dt = came[i * width + j]
+        i, j = i - ds, j - dt
+        path.append((i, j, ds, dt))
+    return path[::-1]
+
+
+def shortest_path(n: int, m: int, cost: Cost, steps: Sequence[Step], max_cells: int = MAX_CELLS) -> list[tuple[int, int, int, int]]:
+    """(i, j, ds, dt) of the cheapest monotone path from (0, 0) to (n, m); cost(step, i, j) of steps from (i, j)."""
+    refuse_large(n, m, max_cells)
     order = [s for s in _PREFERENCE if s in set(steps)]
+    if (n + 1) * (m + 1) <= SMALL_CELLS:
+        return _small_path(n, m, cost, order)
     back = np.full((n + 1, m + 1), -1, np.int8)
     diagonals: list[np.ndarray | None] = [None] * 5  # of the last sums i + j, by i
     diagonals[0] = np.array([0.0] + [np.inf] * n)
@@ -76,7 +114,7 @@ def _erf(values: np.ndarray) -> np.ndarray:
     return np.fromiter(map(math.erf, values.tolist()), float, len(values))
 
 
-def length_path(src: Sequence[str], tgt: Sequence[str]) -> list[tuple[int, int, int, int]]:
+def length_path(src: Sequence[str], tgt: Sequence[str], max_cells: int = MAX_CELLS) -> list[tuple[int, int, int, int]]:
     """By segment lengths: the normal model of lengths, and the priors of the steps."""
     a, b = np.array([len(x) for x in src], float), np.array([len(x) for x in tgt], float)
     ratio = (b.sum() or 1) / (a.sum() or 1)
@@ -90,10 +128,10 @@ def length_path(src: Sequence[str], tgt: Sequence[str]) -> list[tuple[int, int,
         out[(x == 0) & (y == 0)] = 0.0
         return out - math.log(STEP_PRIORS[step])
 
-    return shortest_path(len(src), len(tgt), cost, LENGTH_STEPS)
+    return shortest_path(len(src), len(tgt), cost, LENGTH_STEPS, max_cells)
 
 
-def _similarity_path(dots: np.ndarray, src_norms: Sequence[np.ndarray], tgt_norms: Sequence[np.ndarray], steps: Sequence[Step]) -> list[tuple[int, int, int, int]]:
+def _similarity_path(dots: np.ndarray, src_norms: Sequence[np.ndarray], tgt_norms: Sequence[np.ndarray], steps: Sequence[Step], max_cells: int = MAX_CELLS) -> list[tuple[int, int, int, int]]:
     """By cosines of pooled vectors. dots: products of the single ones; norms[k]: of k + 1 pooled from each place."""
     n, m = dots.shape
 
@@ -106,7 +144,7 @@ def _similarity_path(dots: np.ndarray, src_norms: Sequence[np.ndarray], tgt_norm
         cosine = np.divide(shared, size, out=np.zeros(len(i)), where=size > 0)
         return 1 - cosine + MERGE_COST * (ds + dt - 2)
 
-    return shortest_path(n, m, cost, steps)
+    return shortest_path(n, m, cost, steps, max_cells)
 
 
 def _pooled_norms(singles: np.ndarray, neighbours: np.ndarray) -> list[np.ndarray]:
@@ -115,20 +153,23 @@ def _pooled_norms(singles: np.ndarray, neighbours: np.ndarray) -> list[np.ndarra
     return [np.sqrt(singles), np.sqrt(np.maximum(pairs, 0))]
 
 
-def vector_path(src: np.ndarray, tgt: np.ndarray, steps: Sequence[Step] = VECTOR_STEPS) -> list[tuple[int, int, int, int]]:
+def vector_path(src: np.ndarray, tgt: np.ndarray, steps: Sequence[Step] = VECTOR_STEPS, max_cells: int = MAX_CELLS) -> list[tuple[int, int, int, int]]:
     """By embeddings: cosines of the mean directions of one or two segments."""
 
+    refuse_large(len(src), len(tgt), max_cells)
+
     def units(x: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
     a, b = units(np.asarray(src, float)), units(np.asarray(tgt, float))
     norms = [_pooled_norms((x * x).sum(1), (x[:-1] * x[1:]).sum(1)) for x in (a, b)]
-    return _similarity_path(a @ b.T, *norms, steps)
+    return _similarity_path(a @ b.T, *norms, steps, max_cells)
 
 
-def bag_path(src: Sequence[str], tgt: Sequence[str], steps: Sequence[Step] = VECTOR_STEPS) -> list[tuple[int, int, int, int]]:
+def bag_path(src: Sequence[str], tgt: Sequence[str], steps: Sequence[Step] = VECTOR_STEPS, max_cells: int = MAX_CELLS) -> list[tuple[int, int, int, int]]:
     """By word bags: `src` is the source put into the target's language."""
+    refuse_large(len(src), len(tgt), max_cells)
     bags = [[Counter(_WORD.findall(x.lower())) for x in side] for side in (src, tgt)]
     where: list[dict[str, list[tuple[int, int]]]] = [{}, {}]
     for held, side in zip(where, bags, strict=True):
@@ -144,7 +185,7 @@ def bag_path(src: Sequence[str], tgt: Sequence[str], steps: Sequence[Step] = VEC
         squares = np.array([sum(n * n for n in bag.values()) for bag in side], float)
         beside = np.array([sum(n * y[w] for w, n in x.items()) for x, y in zip(side, side[1:], strict=False)], float)
         norms.append(_pooled_norms(squares, beside))
-    return _similarity_path(dots, *norms, steps)
+    return _similarity_path(dots, *norms, steps, max_cells)
 
 
 def paths_to_beads(path, src: Sequence, tgt: Sequence) -> list[tuple[list, list]]:
@@ -156,40 +197,60 @@ def one_sided(n: int, m: int) -> list[tuple[int, int, int, int]]:
     return [(k, 0, 1, 0) for k in range(n)] if n else [(0, k, 0, 1) for k in range(m)]
 
 
-def align_blocks(src: DataFrame, tgt: DataFrame, keys: Sequence[str], method: str = "gale-church", steps: Sequence[Step] | None = None) -> DataFrame:
+def _block_path(method: str, src: list, tgt: list, steps: Sequence[Step] | None, max_cells: int) -> list[tuple[int, int, int, int]]:
+    """The path of one block of rows (seg_idx, text, and vec or pivot)."""
+    if not src or not tgt:
+        return one_sided(len(src), len(tgt))
+    if method in ("embed", "auto"):
+        vectors = [[r.get("vec") for r in side] for side in (src, tgt)]
+        if method == "embed" or not any(v is None for side in vectors for v in side):
+            return vector_path(*(np.array(side, float) for side in vectors), steps or VECTOR_STEPS, max_cells)
+    texts = [[r["text"] for r in side] for side in (src, tgt)]
+    if method == "mt":
+        return bag_path([r["pivot"] for r in src], texts[1], steps or VECTOR_STEPS, max_cells)
+    return length_path(*texts, max_cells)
+
+
+def align_blocks(src: DataFrame, tgt: DataFrame, keys: Sequence[str], method: str = "gale-church", steps: Sequence[Step] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
     """keys, bead_idx (1-based), src, tgt (arrays of texts), ds, dt for every block of either side.
 
     src, tgt: keys, seg_idx, text; with `vec` (array) for method "embed", and with `pivot` (the source's
-    text in the target's language) in src for "mt". Output texts are always the originals.
+    text in the target's language) in src for "mt". Method "auto" goes by `vec` where both sides of a block have
+    all of them, else by lengths. Output texts are always the originals. Each side's segments are
+    gathered into one row a block, and many blocks share an Arrow batch. Null keys make a block like any other.
     """
     keys = list(keys)
     schema = T.StructType(
-        [src.schema[k] for k in keys]
+        [T.StructField(k, src.schema[k].dataType) for k in keys]
         + [T.StructField("bead_idx", T.IntegerType()), T.StructField("src", T.ArrayType(T.StringType())), T.StructField("tgt", T.ArrayType(T.StringType())), T.StructField("ds", T.IntegerType()), T.StructField("dt", T.IntegerType())]
     )
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("seg_idx"), right.sort_values("seg_idx")
-        a, b = left["text"].tolist(), right["text"].tolist()
-        if not a or not b:
-            path = one_sided(len(a), len(b))
-        elif method == "embed":
-            path = vector_path(np.stack(left["vec"].to_list()), np.stack(right["vec"].to_list()), steps or VECTOR_STEPS)
-        elif method == "mt":
-            path = bag_path(left["pivot"].tolist(), b, steps or VECTOR_STEPS)
-        else:
-            path = length_path(a, b)
-        beads = paths_to_beads(path, a, b)
-        rows = [(*key, k, s, t, len(s), len(t)) for k, (s, t) in enumerate(beads, 1)]
-        return pd.DataFrame(rows, columns=schema.names)
-
-    chosen = {"embed": ["vec"], "mt": ["pivot"]}.get(method, [])
-    # columns of their own on each side: both may come from one table
-    own = lambda d, cs: d.select(*[F.col(c).alias(c) for c in cs])
-    left = own(src, [*keys, "seg_idx", "text", *chosen])
-    right = own(tgt, [*keys, "seg_idx", "text", *[c for c in chosen if c == "vec"]])
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    also = {"embed": ("vec", "vec"), "mt": ("pivot", None), "auto": ("vec", "vec")}.get(method, (None, None))
+
+    def side(rows: DataFrame, more: str | None, name: str) -> DataFrame:
+        fields = ["seg_idx", "text", *([more] if more and more in rows.columns else [])]
+        gathered = F.sort_array(F.collect_list(F.struct(*fields))).alias(name)
+        return rows.groupBy(*[F.col(k).alias(f"{name}_{n}") for n, k in enumerate(keys)]).agg(gathered)
+
+    left, right = side(src, also[0], "left"), side(tgt, also[1], "right")
+    same = [F.col(f"left_{n}").eqNullSafe(F.col(f"right_{n}")) for n in range(len(keys))]
+    blocks = left.join(right, reduce(lambda a, b: a & b, same), "full")
+    blocks = blocks.select(*[F.when(F.col("left").isNotNull(), F.col(f"left_{n}")).otherwise(F.col(f"right_{n}")).alias(k) for n, k in enumerate(keys)], "left", "right")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            owner, rows = [], [[], [], [], [], []]
+            for block, (a, b) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True)):
+                a, b = a or [], b or []
+                beads = paths_to_beads(_block_path(method, a, b, steps, max_cells), [r["text"] for r in a], [r["text"] for r in b])
+                owner += [block] * len(beads)
+                for k, (s, t) in enumerate(beads, 1):
+                    for column, x in zip(rows, (k, s, t, len(s), len(t)), strict=True):
+                        column.append(x)
+            held = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*held, *[pa.array(x, arrow.field(len(keys) + k).type) for k, x in enumerate(rows)]], names=schema.names)
+
+    return blocks.mapInArrow(run, schema)
 
 
 def choose_method(requested: str, translators: Sequence[str] = (), src_lang: str = "", has_vectors: bool = False) -> str:

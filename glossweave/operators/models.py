@@ -39,10 +39,12 @@ class Registry:
         self._models.clear()
 
     def configure(self, settings: dict, kind: type) -> None:
-        """Endpoints from {lang: url or {url, batch_size, timeout}}."""
+        """Endpoints from {lang: url or {url, batch (or batch_size), timeout, headers}}; those without a url are passed over."""
         for lang, value in (settings or {}).items():
-            options = {"url": value} if isinstance(value, str) else dict(value)
-            self.register(lang, kind(self._code(lang), **options))
+            options = {"url": value} if isinstance(value, str) else {k: v for k, v in (value or {}).items() if v is not None}
+            if options.get("url"):
+                named = {"batch_size": options.get("batch", options.get("batch_size", HTTP_BATCH)), "timeout": options.get("timeout", HTTP_TIMEOUT)}
+                self.register(lang, kind(self._code(lang), options["url"], headers=options.get("headers"), **named))
 
 
 class HttpModel:
@@ -50,15 +52,16 @@ class HttpModel:
 
     request_key, response_key = "lang", "texts"
 
-    def __init__(self, lang: str, url: str, batch_size: int = HTTP_BATCH, timeout: float = HTTP_TIMEOUT):
-        self.lang, self.url, self.batch_size, self.timeout = lang, url, int(batch_size), timeout
+    def __init__(self, lang: str, url: str, batch_size: int = HTTP_BATCH, timeout: float = HTTP_TIMEOUT, headers: dict[str, str] | None = None):
+        self.lang, self.url, self.batch_size, self.timeout = lang, url, int(batch_size), float(timeout)
+        self.headers = {"Content-Type": "application/json"} | {str(k): str(v) for k, v in (headers or {}).items()}
 
     def __call__(self, texts: list[str]) -> list[str]:
         out: list[str] = []
         for at in range(0, len(texts), self.batch_size):
             batch = texts[at : at + self.batch_size]
             body = json.dumps({self.request_key: self.lang, "texts": batch}).encode()
-            request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})
+            request = urllib.request.Request(self.url, body, self.headers)
             with urllib.request.urlopen(request, timeout=self.timeout) as reply:
                 found = json.load(reply)[self.response_key]
             if len(found) != len(batch):
@@ -106,13 +109,21 @@ def translate_segments(segments: DataFrame, model: Model) -> DataFrame:
     return apply_model(segments, model, "text", "pivot")
 
 
-def encode_segments(segments: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
-    """Segments with `vec`; `load` makes the encoder once in each worker."""
+def encode_segments(segments: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], lenient: bool = False) -> DataFrame:
+    """Segments with `vec`; `load` makes the encoder once in each worker. With `lenient` an encoder that can't be
+    loaded or fails on a batch leaves its vectors null, so that `auto` alignment goes by lengths there."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = load()
+        encode, failed = None, False
         for batch in batches:
-            yield pd.Series([list(map(float, v)) for v in encode(batch.fillna("").tolist())], index=batch.index)
+            try:
+                encode = encode or (None if failed else load())
+                found = [list(map(float, v)) for v in encode(batch.fillna("").tolist())]
+            except Exception:
+                if not lenient:
+                    raise
+                failed, found = encode is None, [None] * len(batch)
+            yield pd.Series(found, index=batch.index)
 
     return segments.withColumn("vec", run(F.col("text")))

@@ -58,7 +58,8 @@ def build(
         left = translate_segments(left, translator)
     elif method == "embed":
         left, right = encode(left), encode(right)
-    beads = align_blocks(left, right, BLOCK, method)
+    # a job that asks for "auto" goes by lengths in blocks where the encoder gave no vectors
+    beads = align_blocks(left, right, BLOCK, "auto" if aligner == "auto" and method == "embed" else method)
     if restyler:
         beads = restyle_beads(beads, restyler)
     return pairs.select("book_id", "ch_idx", "title"), beads

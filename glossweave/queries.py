@@ -279,7 +279,7 @@ def q_restyle(spark, sf_dir):
 
 
 def q_catalog_json(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("page_id % 3 < 2")
+    pages = table(spark, sf_dir, "pages")
     names = F.when(F.col("page_id") % 4 == 0, F.array().cast("array<struct<name:string>>")).otherwise(F.array(F.struct(F.lit("Doe, J.").alias("name")), F.struct(F.concat(F.lit("A"), F.col("page_id").cast("string")).alias("name"))))
     formats = F.create_map(F.when(F.col("page_id") % 3 == 0, "text/plain; charset=utf-8").otherwise("text/html"), F.col("url"))
     entry = F.struct(F.col("page_id").alias("id"), F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("title"), names.alias("authors"), F.array(F.lit("en")).alias("languages"), F.when(F.col("page_id") % 2 == 0, F.col("page_id") * 10).alias("download_count"), formats.alias("formats"))
@@ -342,7 +342,7 @@ def q_render_plan(spark, sf_dir):
 
 
 def q_parse_range(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1")
+    orders = table(spark, sf_dir, "orders")
     text = F.when(F.col("o_orderkey") % 4 == 1, F.concat((F.col("o_orderkey") % 9).cast("string"), F.lit("-"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(":")))
     found = orders.select("o_orderkey", X.parse_range(text).alias("r"))
     return found.select("o_orderkey", F.col("r.first").cast("long").alias("first"), F.col("r.last").cast("long").alias("last"))

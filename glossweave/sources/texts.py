@@ -49,22 +49,37 @@ def first_text(text_id: int, get: Callable[[str], str | None] = fetch, urls: Ite
     raise RuntimeError(f"no source has text {text_id}")
 
 
-def landed(spark: SparkSession, ids: DataFrame, landing: str, get: Callable[[str], str | None] = fetch, refresh: bool = False) -> DataFrame:
+LANDED = "text_id long, text string, landed timestamp"
+
+
+def landed(spark: SparkSession, ids: DataFrame, landing: str, get: Callable[[str], str | None] = fetch, refresh: bool = False, strict: bool = True) -> DataFrame:
     """text_id, text without boilerplate. Texts not yet in the `landing` table (raw, Parquet) are fetched on
-    the executors and added to it; boilerplate is taken off at every read."""
+    the executors and added to it; boilerplate is taken off at every read. `refresh` fetches all of `ids` again and
+    adds them as newer ones; the newest of each id counts, and no other text is touched. An id without
+    source is an error, or with `strict` off has no row, while the others are landed."""
     wanted = ids.select(F.col("text_id").cast("long").alias("text_id")).distinct()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(landing)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    missing = wanted if refresh or not there else wanted.join(spark.read.parquet(landing).select("text_id"), "text_id", "left_anti")
+    known = lambda: spark.read.schema(LANDED).parquet(landing)
+    missing = wanted if refresh or not there else wanted.join(known().select("text_id"), "text_id", "left_anti")
+
+    def one(text_id: int) -> str | None:
+        try:
+            return first_text(text_id, get)
+        except RuntimeError:
+            if strict:
+                raise
+            return None
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"text_id": frame["text_id"], "text": [first_text(int(i), get) for i in frame["text_id"]]})
+            yield pd.DataFrame({"text_id": frame["text_id"], "text": [one(int(i)) for i in frame["text_id"]]})
 
-    fetched = missing.mapInPandas(run, "text_id long, text string")
-    fetched.write.mode("overwrite" if refresh else "append").parquet(landing)
-    raw = spark.read.schema("text_id long, text string").parquet(landing)
-    return raw.join(wanted, "text_id", "left_semi").select("text_id", strip_boilerplate(universal_newlines(F.col("text"))).alias("text"))
+    fetched = missing.mapInPandas(run, "text_id long, text string").where("text is not null")
+    fetched.withColumn("landed", F.current_timestamp()).write.mode("append").parquet(landing)
+    newest = known().join(wanted, "text_id", "left_semi").groupBy("text_id").agg(F.max("landed").alias("newest"))  # reads no text
+    raw = known().join(newest, "text_id").where(F.col("landed").eqNullSafe(F.col("newest")))
+    return raw.select("text_id", strip_boilerplate(universal_newlines(F.col("text"))).alias("text"))
 
 
 def load_text(jobs: DataFrame, files: DataFrame, texts: DataFrame, path: str, text_id: str) -> DataFrame:
