@@ -63,20 +63,25 @@ def divisions(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
 
     A heading opens a division; one with no line after it before the next heading is dropped; text before
     the first heading is an untitled division; a document that yields none is one untitled division.
+    All of it is an expression over the document's row, so nothing is shuffled, and rows with equal or null keys
+    are documents of their own.
     """
-    section = F.sum(F.col("is_heading").cast("int")).over(Window.partitionBy(*keys).orderBy("pos"))
-    rows = lines(docs, keys).withColumn("section", section)
-    title = F.max(F.when(F.col("is_heading"), strip(F.col("line"))))
-    text_lines = F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("pos", "line"))))
-    grouped = rows.groupBy(*keys, "section").agg(
-        F.coalesce(title, F.lit("")).alias("title"), strip(F.array_join(F.transform(text_lines, lambda x: x["line"]), "\n")).alias("body"), F.count_if(~F.col("is_heading")).alias("n")
-    )
-    found = grouped.where("n > 0")
-    nothing = docs.join(found.select(*keys).distinct(), list(keys), "left_anti")
-    whole = nothing.select(*keys, F.lit(0).cast("long").alias("section"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("body"))
-    rows = found.select(*keys, F.col("section").cast("long").alias("section"), "title", "body").unionByName(whole)
-    index = F.row_number().over(Window.partitionBy(*keys).orderBy("section"))
-    return rows.select(*keys, index.alias("div_idx"), "title", "body")
+    text = F.coalesce("text", F.lit(""))
+    cut = docs.select(*keys, text.alias("__text"), split_lines(text).alias("__lines"))
+    headings = F.filter(F.transform("__lines", lambda x, i: F.when(is_heading(x), i)), lambda i: i.isNotNull())
+    opened = cut.select("*", F.concat(F.array(F.lit(-1)), headings, F.array(F.size("__lines"))).alias("__starts"))
+
+    def section(start, k):
+        first, until = start + 2, F.element_at("__starts", k + 2)  # 1-based, past the heading
+        title = F.when(start < 0, "").otherwise(strip(F.element_at("__lines", F.greatest(start, F.lit(0)) + 1)))
+        lines_in = F.slice("__lines", first, until - start - 1)
+        return F.when(until - start > 1, F.struct(title.alias("title"), strip(F.array_join(lines_in, "\n")).alias("body")))
+
+    sections = F.transform(F.slice("__starts", F.lit(1), F.size("__starts") - 1), section)
+    found = opened.select(*keys, "__text", F.filter(sections, lambda x: x.isNotNull()).alias("__found"))
+    whole = F.array(F.struct(F.lit("").alias("title"), F.col("__text").alias("body")))
+    each = found.select(*keys, F.posexplode(F.when(F.size("__found") > 0, F.col("__found")).otherwise(whole)).alias("pos", "d"))
+    return each.select(*keys, (F.col("pos") + 1).alias("div_idx"), "d.title", "d.body")
 
 
 def outline(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -95,10 +100,10 @@ def apply_range(divs: DataFrame, first: Column | None, last: Column | None, keys
     return divs.withColumn("__in", inside).where("__in").drop("__in")
 
 
-def paragraphs(texts: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keys, para_idx (1-based), text. A blank run of the document's usual size or more parts paragraphs:
+def paragraphs(texts: DataFrame, keys: Sequence[str] = ("doc_id",), carry: Sequence[str] = ()) -> DataFrame:
+    """keys, para_idx (1-based), text, and the columns `carry`, which are the same in all rows of a document. A blank run of the document's usual size or more parts paragraphs:
     where most blank runs between lines hold one line, two are needed, else one."""
-    rows = texts.select(*keys, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
+    rows = texts.select(*keys, *carry, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
     order = Window.partitionBy(*keys).orderBy("pos")
     rows = rows.withColumn("blank", F.coalesce(F.col("pos") - F.lag("pos").over(order) - 1, F.lit(0)))
     document = Window.partitionBy(*keys)
@@ -106,7 +111,7 @@ def paragraphs(texts: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame
     needed = F.when((runs > 0) & (2 * single > runs), 2).otherwise(1)
     rows = rows.withColumn("breaks", (F.col("blank") >= needed).cast("int"))
     rows = rows.withColumn("para_idx", (1 + F.sum("breaks").over(order)).cast("int"))
-    return rows.groupBy(*keys, "para_idx").agg(ordered_join(F.col("pos"), F.col("line"), " ").alias("text"))
+    return rows.groupBy(*keys, "para_idx").agg(ordered_join(F.col("pos"), F.col("line"), " ").alias("text"), *[F.min(c).alias(c) for c in carry])
 
 
 def is_abbreviation_tail(piece: Column) -> Column:
@@ -127,11 +132,7 @@ def split_sentences(text: Column, lang: Column) -> Column:
 def prose_segments(texts: DataFrame, keys: Sequence[str] = ("doc_id",), lang: str | None = "lang") -> DataFrame:
     """keys, seg_idx (1-based), text: sentences, those split after an abbreviation joined again."""
     code = F.col(lang) if lang else F.lit("")
-    if lang and lang not in keys:
-        langs = texts.select(*keys, lang).distinct()
-        paras = paragraphs(texts, keys).join(langs, list(keys))
-    else:
-        paras = paragraphs(texts, keys)
+    paras = paragraphs(texts, keys, [lang] if lang and lang not in keys else [])
     pieces = paras.select(*keys, "para_idx", F.posexplode(split_sentences(F.col("text"), code)).alias("pos", "piece")).where("piece <> ''")
     order = Window.partitionBy(*keys, "para_idx").orderBy("pos")
     opens = ~F.coalesce(is_abbreviation_tail(F.lag("piece").over(order)), F.lit(False))

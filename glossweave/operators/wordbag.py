@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import word_tokens
 
@@ -21,9 +22,9 @@ def bag_norms(bags: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def pair_cosine(pairs: DataFrame, bags: DataFrame, key: str = "doc_id") -> DataFrame:
     """left, right, cosine of the given pairs (left, right): 0 where they share no word."""
-    a = bags.select(F.col(key).alias("left"), "token", F.col("cnt").alias("a"))
-    b = bags.select(F.col(key).alias("right"), "token", F.col("cnt").alias("b"))
-    shared = pairs.join(a, "left").join(b, ["right", "token"]).groupBy("left", "right").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    norms = bag_norms(bags, [key])
-    sized = pairs.join(norms.select(F.col(key).alias("left"), F.col("norm").alias("na")), "left", "left").join(norms.select(F.col(key).alias("right"), F.col("norm").alias("nb")), "right", "left")
-    return sized.join(shared, ["left", "right"], "left").select("left", "right", F.coalesce(F.col("dot") / (F.col("na") * F.col("nb")), F.lit(0.0)).alias("cosine"))
+    size = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(key)))
+    sized = bags.select(key, "token", "cnt", size.alias("norm"))
+    side = lambda name, c: sized.select(F.col(key).alias(name), "token", F.col("cnt").alias(c), F.col("norm").alias(f"n{c}"))
+    both = pairs.join(side("left", "a"), "left").join(side("right", "b"), ["right", "token"])
+    shared = both.groupBy("left", "right").agg((F.sum(F.col("a") * F.col("b")) / (F.max("na") * F.max("nb"))).alias("cosine"))
+    return pairs.join(shared, ["left", "right"], "left").select("left", "right", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
