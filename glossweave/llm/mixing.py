@@ -15,7 +15,11 @@ but one row of sums a step.
 Defined cases: null and empty texts have no words, the prior as posterior, and a rate like any other;
 labelled rows with a null id or domain, or a domain without target, are left out; domains without labelled
 documents get no rate of their own; without any labelled documents all rates are 1; a repeated label
-counts as often as it stands; repeated documents are taken alike; clashing extra columns stay as they are.
+counts as often as it stands; repeated documents are taken alike; in `mix` clashing extra columns stay as they
+are, `rated` takes tables without columns named as those it adds.
+
+A document's words say as much as `EVIDENCE` words of their kind at most: posteriors of long texts would
+be 0 or 1 otherwise, though their words are no independent draws. All words count in the mean.
 """
 
 from __future__ import annotations
@@ -158,6 +162,8 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Da
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The rows of `docs`, each as often as its rate asks, in the columns of `docs`."""
+    # all columns as one, so that none clashes with those of the computation
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text")
     # an outer generator, so that no filter on the copies is pushed below and evaluates the classifier again
     repeated = F.explode_outer(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
-    return rated(docs, labelled, targets).withColumn("__copy", repeated).where("__copy is not null").select(*docs.columns)
+    return rated(packed, labelled, targets).withColumn("__copy", repeated).where("__copy is not null").select("__row.*")

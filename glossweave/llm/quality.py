@@ -140,10 +140,10 @@ RESULTS = ("expected_grade", "p_ge1", "p_ge2", "selected")
 
 
 def _chances(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """The columns of `docs` and __p1, __p2: the chances of a grade over 0 and over 1."""
+    """row (all columns of `docs`), p1, p2: the chances of a grade over 0 and over 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("__p1", "__p2")]])
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([packed.schema["row"], *[T.StructField(c, T.DoubleType()) for c in ("p1", "p2")]])
 
     def run(batches):
         from math import exp
@@ -151,21 +151,21 @@ def _chances(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         model = shared.value
         low, high = model.thresholds
         for batch in batches:
-            scores = [model.score(features(t)) for t in batch.column(len(columns)).to_pylist()]
+            scores = [model.score(features(t)) for t in batch.column(1).to_pylist()]
             chances = [pa.array([1 / (1 + exp(-max(-40.0, min(40.0, s - t)))) for s in scores], pa.float64()) for t in (low, high)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], *chances], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *chances], names=schema.names)
 
-    return docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return packed.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> DataFrame:
     """The columns of `docs` but those named as in RESULTS, followed by RESULTS."""
     columns = [c for c in docs.columns if c not in RESULTS]
-    p1, p2 = F.round("__p1", 6), F.round("__p2", 6)
-    return _chances(docs.select(*columns), model).select(*columns, F.round(F.col("__p1") + F.col("__p2"), 6).alias("expected_grade"), p1.alias("p_ge1"), p2.alias("p_ge2"), (p2 >= keep).alias("selected"))
+    p1, p2 = F.round("p1", 6), F.round("p2", 6)
+    return _chances(docs.select(*columns), model).select("row.*", F.round(F.col("p1") + F.col("p2"), 6).alias("expected_grade"), p1.alias("p_ge1"), p2.alias("p_ge2"), (p2 >= keep).alias("selected"))
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
     """The rows of `docs` that the classifier selects, in the columns of `docs`."""
     model = train(docs, graded(labels), sample)
-    return _chances(docs, model).where(F.round("__p2", 6) >= keep).select(*docs.columns)
+    return _chances(docs, model).where(F.round("p2", 6) >= keep).select("row.*")

@@ -241,3 +241,14 @@ def test_balance_recall_and_work_of_the_registered_parameters():
         searched += whole[chosen].sum()
     assert found >= 0.9 * 2_000
     assert searched <= 0.25 * 200 * len(v)
+
+
+def test_columns_named_like_internal_ones(spark):
+    rows = [(k, f"word{k % 7} and text", "a", 1.5, "b", 2) for k in range(30)] + [(None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n string, __p double, __rate string, __p1 int")
+    labelled = spark.createDataFrame([(k, "x" if k % 2 else "y") for k in range(30)], "doc_id long, domain string")
+    mixed = mixing.mix(docs, labelled, {"x": 0.5, "y": 0.5})
+    assert mixed.columns == docs.columns and set(mixed.collect()) <= set(docs.collect())
+    model = quality.train(docs, quality.graded(spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")))
+    scored = quality.score(docs, model)
+    assert scored.columns == [*docs.columns, *quality.RESULTS] and scored.count() == 31
