@@ -317,8 +317,8 @@ def _copy_edges(nodes: DataFrame, texts: DataFrame, similar: float, shingle: int
         others = keys.join(many.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("key").alias("other"))
         split = many.select("key", "fp", "root").join(others, "fp").where("key <> other")
         pairs = pairs.unionByName(paired(mixed(split, ["key", "other"]), ["key", "other"]))
-    tested = edges.select("a", "b")
-    return edges.unionByName(_verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), nodes, texts, similar, shingle))
+    # none of these is tested already as a link: links join one component, these join two
+    return edges.unionByName(_verified(pairs, nodes, texts, similar, shingle))
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = COPY_SHINGLE, small_bucket: int = SMALL_BUCKET, block_bits: int = BLOCK_BITS, tables: int = TABLES) -> DataFrame:
