@@ -22,8 +22,8 @@ no link is below `similar`. FAR is four standard deviations over the mean distan
 shares none of the blocks with a chance of about 0.6 %, at 0.85 of 1 in 100,000 (sets of a few shingles more often).
 The chance that strangers share a block falls by half with each bit of `block_bits`.
 
-A group of copies joins in linear time: in each bucket all members are held against one, twice (first one by
-hash, then the one with most links). What is left are buckets that hold different components. Small ones make
+A group of copies joins in linear time: in each bucket all members are held against one by hash, then, in buckets
+that still hold different components, against the one with most links. What is left are buckets that hold different components. Small ones make
 all their pairs between components; large ones (over `small_bucket`) do so where a second block is shared too.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows share
@@ -287,30 +287,37 @@ def _copy_edges(nodes: DataFrame, texts: DataFrame, similar: float, shingle: int
     counts = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "copies-counts")
     shared = materialize(keys.join(counts, "key"), "copies-shared")  # so that both sides are shuffled plainly and a hot one can be split
 
-    def led(rows: DataFrame, rank) -> DataFrame:
-        """Each member of a bucket with the member of the least rank."""
-        first = materialize(rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "fp")).alias("first")).select("key", F.col("first.fp").alias("first")), "copies-leaders")
-        return rows.join(first, "key").where("fp <> first").select(*_ordered("fp", "first")).distinct()
-
-    edges = _verified(led(shared, F.xxhash64("fp")), nodes, texts, similar, shingle)
-    # once more with the member that has most links, which is nearest to the centre of its group
-    links = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg((-F.count("*")).alias("links"))
-    linked = materialize(shared.join(materialize(links, "copies-links"), "fp", "left").select("key", "fp", "m", F.coalesce("links", F.lit(0)).alias("links")), "copies-linked")
-    edges = edges.unionByName(_verified(led(linked, F.col("links")).join(edges, ["a", "b"], "left_anti"), nodes, texts, similar, shingle))
-    roots = connected_components(edges).withColumnRenamed("node", "fp")
+    def led(rows: DataFrame, rank, *more: str) -> DataFrame:
+        """Each member of a bucket with the bucket's member of the least rank as `first`, and that one's columns `more`."""
+        least = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "fp", *more)).alias("first"))
+        first = least.select("key", F.col("first.fp").alias("first"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in more])
+        return rows.join(materialize(first, "copies-leaders"), "key").where("fp <> first")
 
     def mixed(rows: DataFrame, on: list[str]) -> DataFrame:
         """The rows of buckets that hold different components."""
         some = rows.groupBy(*on).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select(*on, "size")
         return materialize(rows.join(materialize(some, "copies-mixed"), on), "copies-split")
 
+    def unsettled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        roots = connected_components(edges).withColumnRenamed("node", "fp")
+        return mixed(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), ["key"])
+
+    edges = _verified(led(shared, F.xxhash64("fp")).select(*_ordered("fp", "first")).distinct(), nodes, texts, similar, shingle)
+    # once more in buckets that hold different components, with the member that has most links, which is nearest to
+    # the centre of its group; pairs within a component are settled, so none that is a link already comes again
+    rest = unsettled(shared.select("key", "fp"), edges)
+    links = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg((-F.count("*")).alias("links"))
+    linked = rest.join(materialize(links, "copies-links"), "fp", "left").select("key", "fp", "root", F.coalesce("links", F.lit(0)).alias("links"))
+    again = led(materialize(linked, "copies-linked"), F.col("links"), "root").where("root <> first_root").select(*_ordered("fp", "first")).distinct()
+    edges = edges.unionByName(_verified(again, nodes, texts, similar, shingle))
+    rest = unsettled(rest.select("key", "fp"), edges)
+
     def paired(rows: DataFrame, on: list[str]) -> DataFrame:
         rows = rows.join(nodes.select("fp", "n", *_WORDS), "fp")
         other = (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br"))
         left, right = (_side(rows.withColumn(f"{c}r", F.col("root")), c, *on, f"{c}r") for c in ("a", "b"))
         return left.join(right, on).where(other & _near("a", "b", similar)).select("a", "b")
 
-    rest = mixed(shared.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), ["key"])
     few, many = rest.where(F.col("size") <= small_bucket), rest.where(F.col("size") > small_bucket)
     pairs = paired(few, ["key"])
     if not many.isEmpty():  # large buckets are split by a second block
