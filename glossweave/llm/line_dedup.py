@@ -164,13 +164,13 @@ def reaches(w: Windows, kind: int) -> tuple[np.ndarray, ...]:
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    """A batch of rows (doc_id, tie, kind, arrays of one length)."""
-    sizes = [len(r[3]) for r in rows]
+    """A batch of rows (doc_id, tie, arrays of one length)."""
+    sizes = [len(r[2]) for r in rows]
     owner = pa.array(np.repeat(np.arange(len(rows)), sizes))
     ids, ties = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())
-    columns = [np.concatenate([r[k] for r in rows]) for k in range(3, len(names))]
+    columns = [np.concatenate([r[k] for r in rows]) for k in range(2, len(names))]
     plain = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
-    return pa.RecordBatch.from_arrays([ids.take(owner), ties.take(owner), pa.array(np.repeat([r[2] for r in rows], sizes).astype(np.int32)), *plain], names)
+    return pa.RecordBatch.from_arrays([ids.take(owner), ties.take(owner), *plain], names)
 
 
 def _gathered(run, names: list[str]):
@@ -180,9 +180,9 @@ def _gathered(run, names: list[str]):
         held, size = [], 0
         for batch in batches:
             for row in run(batch):
-                if len(row[3]):
+                if len(row[2]):
                     held.append(row)
-                    size += len(row[3])
+                    size += len(row[2])
                 if size >= 20_000:
                     yield _table(held, names)
                     held, size = [], 0
@@ -192,52 +192,59 @@ def _gathered(run, names: list[str]):
     return whole
 
 
+def _span(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Both word numbers as one long; a text has fewer than 2^31 words. Spans are ordered by `first`."""
+    return (first.astype(np.int64) << 32) | last.astype(np.int64)
+
+
 def _positions(texts: DataFrame, min_words: int, kinds: int) -> DataFrame:
-    """doc_id, tie, kind, at, fp, first, last, reach: the selected positions."""
+    """doc_id, tie, at (twice the word number, plus the kind), fp, span, reach: the selected positions."""
 
     def run(batch):
         for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             for kind in range(kinds):
-                yield d, t, kind, *reaches(_KINDS[kind](text, min_words), kind)
+                at, fp, first, last, reach = reaches(_KINDS[kind](text, min_words), kind)
+                yield d, t, 2 * at + kind, fp, _span(first, last), reach
 
-    names = ["doc_id", "tie", "kind", "at", "fp", "first", "last", "reach"]
-    return texts.mapInArrow(_gathered(run, names), "doc_id long, tie long, kind int, at long, fp long, first long, last long, reach long")
+    names = ["doc_id", "tie", "at", "fp", "span", "reach"]
+    return texts.mapInArrow(_gathered(run, names), ", ".join(f"{n} long" for n in names))
 
 
 def _windows(texts: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, tie, kind, first, last, fp, content of the windows selected for the positions `chosen` of each text."""
+    """doc_id, tie, span, fp, content of the windows selected for the positions `chosen` of each text."""
 
     def run(batch):
         for d, t, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            for kind in {x["kind"] for x in chosen}:
+            for kind in sorted({x & 1 for x in chosen}):
                 w = _KINDS[kind](text, min_words)
-                use = np.isin(w.at, [x["at"] for x in chosen if x["kind"] == kind])
-                yield d, t, kind, w.first[use], w.last[use], w.fp[use], w.content[use]
+                use = np.isin(w.at, [x >> 1 for x in chosen if x & 1 == kind])
+                yield d, t, _span(w.first[use], w.last[use]), w.fp[use], w.content[use]
 
-    names = ["doc_id", "tie", "kind", "first", "last", "fp", "content"]
-    return texts.mapInArrow(_gathered(run, names), "doc_id long, tie long, kind int, first long, last long, fp long, content long")
+    names = ["doc_id", "tie", "span", "fp", "content"]
+    return texts.mapInArrow(_gathered(run, names), ", ".join(f"{n} long" for n in names))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
     """doc_id, tie (hash of the text), first, last: words of stretches that occur earlier, as numbers from 0, last exclusive."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
     selected = materialize(_positions(texts, min_words, 2 if inside_lines else 1), "lines-positions")
-    twice = materialize(selected.groupBy("kind", "fp").agg(F.count("*").alias("n")).where("n > 1").select("kind", "fp"), "lines-twice")
+    # keys begin with the fingerprint, so that sorts compare one long
+    twice = materialize(selected.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "lines-twice")
     # both sides of the joins are written tables, shuffled plainly, so that a hot key can be split
-    selected = materialize(selected.join(twice, ["kind", "fp"], "left_semi"), "lines-shared", release=True)
+    selected = materialize(selected.join(twice, "fp", "left_semi"), "lines-shared", release=True)
     place = F.struct("doc_id", "tie", "at")
-    found = selected.groupBy("kind", "fp", "reach").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    classes = materialize(found.select("kind", "fp", "reach", "a", (F.col("a") < F.col("b")).alias("shared")), "lines-classes", release=True)
-    later = selected.join(classes.where("shared").select("kind", "fp", "reach", "a"), ["kind", "fp", "reach"]).where(place > F.col("a")).select("doc_id", "tie", "first", "last")
-    several = materialize(classes.groupBy("kind", "fp").agg(F.count("*").alias("n")).where("n > 1").select("kind", "fp"), "lines-several")
-    ends = classes.join(several, ["kind", "fp"], "left_semi").select(*_plain("a.doc_id", "a.tie"), F.struct("kind", F.col("a.at").alias("at")).alias("p"))
-    chosen = materialize(ends.groupBy("d", "u", "t").agg(F.collect_set("p").alias("chosen")), "lines-chosen")  # a text's own positions
+    found = selected.groupBy("fp", "reach").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    classes = materialize(found.select("fp", "reach", "a", (F.col("a") < F.col("b")).alias("shared")), "lines-classes", release=True)
+    later = selected.join(classes.where("shared").select("fp", "reach", "a"), ["fp", "reach"]).where(place > F.col("a")).select("doc_id", "tie", "span")
+    several = materialize(classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "lines-several")
+    ends = classes.join(several, "fp", "left_semi").select(*_plain("a.doc_id", "a.tie"), F.col("a.at").alias("at"))
+    chosen = materialize(ends.groupBy("d", "u", "t").agg(F.collect_set("at").alias("chosen")), "lines-chosen")  # a text's own positions
     once = texts.select("*", *_plain("doc_id", "tie")).join(chosen, ["d", "u", "t"])
     windows = materialize(_windows(once.select("doc_id", "tie", "text", "chosen"), min_words), "lines-windows", release=True)
-    begin, key = F.struct("doc_id", "tie", "first"), ["kind", "fp", "content"]
+    begin, key = F.struct("doc_id", "tie", "span"), ["fp", "content"]
     earliest = windows.groupBy(*key).agg(F.min(begin).alias("a"), F.max(begin).alias("b")).where("a <> b").select(*key, "a")
-    again = windows.join(materialize(earliest, "lines-earliest", release=True), key).where(begin > F.col("a")).select("doc_id", "tie", "first", "last")
-    return later.unionByName(again)
+    again = windows.join(materialize(earliest, "lines-earliest", release=True), key).where(begin > F.col("a")).select("doc_id", "tie", "span")
+    return later.unionByName(again).select("doc_id", "tie", F.shiftright("span", 32).alias("first"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).alias("last"))
 
 
 def _plain(doc_id: str, tie: str) -> list:
