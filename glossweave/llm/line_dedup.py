@@ -40,40 +40,101 @@ MIN_WORDS = 50
 GRAM = 8
 _SLAB = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
+_BYTES_AT_ONCE = 1 << 16
+_TEXTS_AT_ONCE = 1 << 20
+
+
+def _finished(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+#: Word hashes: a random number for each byte value, summed with powers of the base.
+_BYTE = np.random.default_rng(_BASE).integers(0, 1 << 64, 256, np.uint64)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+_POWERS = {base: _power_table(base, 1 << 18) for base in (_BASE, _INVERSE)}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of `base`, modulo 2^64."""
+    held = _POWERS[base]
+    return held[:n] if n <= len(held) else _power_table(base, n)
+
+
+def _summed(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each stretch of `values` from first to last (exclusive) a hash of what stands in it."""
+    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(_BASE, len(values)))])
+    return (before[last] - before[first]) * _powers(_INVERSE, len(values) + 1)[first]
+
+
+class Tokens:
+    """The words of some texts, parted by ASCII white space, numbered through all of them: their hashes, and with
+    which word each text begins (and the last one ends). Of the lines that have words: the number, the word they
+    begin with (and the end), and their hashes."""
+
+    def __init__(self, texts: list[bytes | None]):
+        texts = [x or b"" for x in texts]
+        data = b"\n".join(texts)
+        raw = np.frombuffer(data, np.uint8)
+        edges = np.diff(np.concatenate([[True], _BLANK[raw], [True]]).view(np.int8))
+        start, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        self.begins = np.append(np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])), len(start))
+        parts, at = [], 0
+        while at < len(start):
+            to = int(np.searchsorted(end, start[at] + _BYTES_AT_ONCE, "right"))
+            if to <= at:  # one word longer than that
+                parts.append(np.array([xxhash.xxh64_intdigest(data[start[at] : end[at]])], np.uint64))
+                at += 1
+                continue
+            low = start[at]
+            parts.append(_summed(_BYTE[raw[low : end[to - 1]]], start[at:to] - low, end[at:to] - low))
+            at = to
+        self.words = _finished(np.concatenate([np.zeros(0, np.uint64), *parts]))
+        ends = np.concatenate([[0], np.searchsorted(start, np.flatnonzero(raw == 10)), [len(start)]])
+        self.line = np.flatnonzero(np.diff(ends))
+        self.begin = np.append(ends[self.line], len(start))
+        counts = np.diff(self.begin).astype(np.uint64)
+        self.lines = _finished(_summed(self.words, self.begin[:-1], self.begin[1:]) + counts * np.uint64(_BASE))
+
+    def owner(self, word: np.ndarray) -> np.ndarray:
+        """The text that each word stands in."""
+        return np.searchsorted(self.begins, word, "right") - 1
+
+
+def tokens(text: str | None) -> Tokens:
+    """Of one text."""
+    return Tokens([(text or "").encode("utf-8", "surrogatepass")])
 
 
 def lines_of(text: str | None) -> list[tuple[int, int, int]]:
     """(line number, words, hash) of the lines that have words."""
-    out = []
-    for k, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-        words = line.split()
-        if words:
-            out.append((k, len(words), xxhash.xxh64_intdigest(b" ".join(words))))
-    return out
+    t = tokens(text)
+    return list(zip(t.line.tolist(), np.diff(t.begin).tolist(), t.lines.tolist(), strict=True))
+
+
+def _stretches(begin: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last indices of the minimal stretches of at least `min_words` words, from and back from each line,
+    of lines that begin with the words `begin`."""
+    n = len(begin) - 1
+    ahead, back = np.flatnonzero(begin[:-1] + min_words <= begin[-1]), np.flatnonzero(begin[1:] >= min_words)
+    first = np.concatenate([ahead, np.searchsorted(begin, begin[1:][back] - min_words, "right") - 1])
+    last = np.concatenate([np.searchsorted(begin, begin[ahead] + min_words) - 1, back])
+    return np.divmod(np.unique(first * n + last), max(n, 1))
 
 
 def windows_of(lines: list[tuple[int, int, int]], min_words: int = MIN_WORDS) -> set[tuple[int, int]]:
     """(first, last) indices of the minimal stretches of at least `min_words` words, from and back from each line."""
-    found = set()
-    first = total = 0
-    last = -1
-    for first in range(len(lines)):
-        while total < min_words and last + 1 < len(lines):
-            last += 1
-            total += lines[last][1]
-        if total < min_words:
-            break
-        found.add((first, last))
-        total -= lines[first][1]
-    first = total = 0
-    for last, (_, n, _) in enumerate(lines):
-        total += n
-        while total - lines[first][1] >= min_words:
-            total -= lines[first][1]
-            first += 1
-        if total >= min_words:
-            found.add((first, last))
-    return found
+    first, last = _stretches(np.cumsum([0, *(n for _, n, _ in lines)]), min_words)
+    return set(zip(first.tolist(), last.tolist(), strict=True))
 
 
 class Windows:
@@ -84,18 +145,22 @@ class Windows:
         self.first, self.last, self.content, self.fp, self.at = first, last, content, fp, at
 
 
-def line_windows(text: str | None, min_words: int = MIN_WORDS) -> Windows:
-    """Windows of whole lines; the first of equal least hashes is selected."""
-    lines = lines_of(text)
-    begin = np.cumsum([0, *(n for _, n, _ in lines)])
-    hashes = np.array([h for _, _, h in lines], np.uint64)
-    rows = []
-    for a, b in sorted(windows_of(lines, min_words)):
-        k = a + int(hashes[a : b + 1].argmin())
-        rows.append((begin[a], begin[b + 1], xxhash.xxh64_intdigest(hashes[a : b + 1].tobytes()), int(hashes[k]), begin[k]))
-    rows.sort(key=lambda r: (r[4], r[0], r[1]))
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return Windows(*(np.array(c, t) for c, t in zip(columns, (np.int64, np.int64, np.uint64, np.uint64, np.int64), strict=True)))
+_PLACE = np.uint64((1 << 32) - 1)
+
+
+def line_windows(t: Tokens, min_words: int = MIN_WORDS) -> Windows:
+    """Windows of whole lines; the first of equal least hashes (by their upper bits) is selected."""
+    a, b = _stretches(t.begin, min_words)
+    inside = t.owner(t.begin[a]) == t.owner(t.begin[b + 1] - 1)
+    a, b = a[inside], b[inside]
+    if not len(a):
+        return Windows(a, a, a.astype(np.uint64), a.astype(np.uint64), a)
+    placed = np.append((t.lines & ~_PLACE) | np.arange(len(t.lines), dtype=np.uint64), ~np.uint64(0))
+    k = (np.minimum.reduceat(placed, np.stack([a, b + 1], axis=1).ravel())[::2] & _PLACE).astype(np.int64)
+    content = _finished(_summed(t.lines, a, b + 1) + (b - a).astype(np.uint64) * np.uint64(_BASE))
+    order = np.lexsort((b, a, k))
+    a, b, k = a[order], b[order], k[order]
+    return Windows(t.begin[a], t.begin[b + 1], content[order], t.lines[k], t.begin[k])
 
 
 def _rolled(words: np.ndarray, n: int) -> np.ndarray:
@@ -128,23 +193,18 @@ def _minima(values: np.ndarray, width: int) -> np.ndarray:
     return (least & place).astype(np.int64)
 
 
-def _finished(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def word_windows(text: str | None, min_words: int = MIN_WORDS) -> Windows:
+def word_windows(t: Tokens, min_words: int = MIN_WORDS) -> Windows:
     """Windows of `min_words` words, wherever lines end; the first of equal least gram hashes is selected."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    n, gram = len(words), min(GRAM, min_words)
+    n, gram = len(t.words), min(GRAM, min_words)
     if n < min_words:
         none = np.zeros(0, np.int64)
         return Windows(none, none, none.astype(np.uint64), none.astype(np.uint64), none)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    grams, width = _finished(_rolled(hashes, gram)), min_words - gram + 1
+    grams, width = _finished(_rolled(t.words, gram)), min_words - gram + 1
     first = np.arange(n - min_words + 1)
     at = np.concatenate([k + _minima(grams[k : k + _SLAB + width - 1], width) for k in range(0, len(first), _SLAB)])
-    return Windows(first, first + min_words, _finished(_rolled(hashes, min_words)), grams[at], at)
+    inside = np.flatnonzero(t.owner(first) == t.owner(first + min_words - 1))
+    first, at = first[inside], at[inside]
+    return Windows(first, first + min_words, _finished(_rolled(t.words, min_words))[inside], grams[at], at)
 
 
 _KINDS = (line_windows, word_windows)
@@ -158,38 +218,27 @@ def reaches(w: Windows, kind: int) -> tuple[np.ndarray, ...]:
     end = np.append(begin[1:], len(w.at)) - 1
     if kind:  # windows follow word by word and overlap, so the outer two tell them all
         return at, w.fp[begin], w.first[begin], w.last[end], _finished(w.content[begin] * np.uint64(3) + w.content[end] * np.uint64(_BASE) + (end - begin).astype(np.uint64))
-    off = np.stack([w.first - w.at, w.last - w.at, w.content.view(np.int64)], axis=1)
-    whole = np.array([xxhash.xxh64_intdigest(np.ascontiguousarray(off[a : b + 1]).tobytes()) for a, b in zip(begin, end, strict=True)], np.uint64)
+    offsets = (w.first - w.at).astype(np.uint64) * np.uint64(_BASE) + (w.last - w.at).astype(np.uint64)
+    whole = _finished(_summed(_finished(w.content ^ _finished(offsets)), begin, end + 1))
     return at, w.fp[begin], np.minimum.reduceat(w.first, begin), np.maximum.reduceat(w.last, begin), whole
 
 
-def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    """A batch of rows (doc_id, tie, arrays of one length)."""
-    sizes = [len(r[2]) for r in rows]
-    owner = pa.array(np.repeat(np.arange(len(rows)), sizes))
-    ids, ties = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())
-    columns = [np.concatenate([r[k] for r in rows]) for k in range(2, len(names))]
-    plain = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
-    return pa.RecordBatch.from_arrays([ids.take(owner), ties.take(owner), *plain], names)
-
-
-def _gathered(run, names: list[str]):
-    """Rows of `run`, a few texts a batch."""
+def _parts(batch: pa.RecordBatch):
+    """Slices of a batch whose texts, in column 2, come to about a megabyte; as Tokens with the slice."""
+    texts = batch.column(2).cast(pa.binary()).to_pylist()
+    begin = size = 0
+    for k, text in enumerate(texts, 1):
+        size += len(text or b"")
+        if size >= _TEXTS_AT_ONCE or k == len(texts):
+            yield Tokens(texts[begin:k]), batch.slice(begin, k - begin)
+            begin, size = k, 0
 
-    def whole(batches):
-        held, size = [], 0
-        for batch in batches:
-            for row in run(batch):
-                if len(row[2]):
-                    held.append(row)
-                    size += len(row[2])
-                if size >= 20_000:
-                    yield _table(held, names)
-                    held, size = [], 0
-        if held:
-            yield _table(held, names)
 
-    return whole
+def _table(t: Tokens, part: pa.RecordBatch, word: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """doc_id and tie of the text that each word stands in, and `columns`."""
+    owner = pa.array(t.owner(word))
+    plain = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), *plain], names)
 
 
 def _span(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -199,29 +248,36 @@ def _span(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _positions(texts: DataFrame, min_words: int, kinds: int) -> DataFrame:
     """doc_id, tie, at (twice the word number, plus the kind), fp, span, reach: the selected positions."""
+    names = ["doc_id", "tie", "at", "fp", "span", "reach"]
 
-    def run(batch):
-        for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for kind in range(kinds):
-                at, fp, first, last, reach = reaches(_KINDS[kind](text, min_words), kind)
-                yield d, t, 2 * at + kind, fp, _span(first, last), reach
+    def run(batches):
+        for batch in batches:
+            for t, part in _parts(batch):
+                for kind in range(kinds):
+                    at, fp, first, last, reach = reaches(_KINDS[kind](t, min_words), kind)
+                    base = t.begins[t.owner(at)]
+                    yield _table(t, part, at, [2 * (at - base) + kind, fp, _span(first - base, last - base), reach], names)
 
-    names = ["doc_id", "tie", "at", "fp", "span", "reach"]
-    return texts.mapInArrow(_gathered(run, names), ", ".join(f"{n} long" for n in names))
+    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _windows(texts: DataFrame, min_words: int) -> DataFrame:
     """doc_id, tie, span, fp, content of the windows selected for the positions `chosen` of each text."""
-
-    def run(batch):
-        for d, t, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            for kind in sorted({x & 1 for x in chosen}):
-                w = _KINDS[kind](text, min_words)
-                use = np.isin(w.at, [x >> 1 for x in chosen if x & 1 == kind])
-                yield d, t, _span(w.first[use], w.last[use]), w.fp[use], w.content[use]
-
     names = ["doc_id", "tie", "span", "fp", "content"]
-    return texts.mapInArrow(_gathered(run, names), ", ".join(f"{n} long" for n in names))
+
+    def run(batches):
+        for batch in batches:
+            for t, part in _parts(batch):
+                chosen = part.column(3)
+                base = np.repeat(t.begins[:-1], chosen.value_lengths().to_numpy())
+                marks = chosen.flatten().to_numpy()
+                for kind in (0, 1):
+                    w = _KINDS[kind](t, min_words)
+                    use = np.isin(w.at, (marks >> 1)[marks & 1 == kind] + base[marks & 1 == kind])
+                    begin = t.begins[t.owner(w.at[use])]
+                    yield _table(t, part, w.at[use], [_span(w.first[use] - begin, w.last[use] - begin), w.fp[use], w.content[use]], names)
+
+    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:

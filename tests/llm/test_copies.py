@@ -319,7 +319,7 @@ def test_runs_inside_lines_match_brute_force(spark, size):
 
 def test_only_minima_are_selected():
     text = "\n".join(" ".join(f"w{17 * k % 101}x{j}" for j in range(7)) for k in range(400))
-    for windows in (line_dedup.line_windows(text), line_dedup.word_windows(text)):
+    for windows in (line_dedup.line_windows(line_dedup.tokens(text)), line_dedup.word_windows(line_dedup.tokens(text))):
         assert len(set(windows.at.tolist())) < 0.5 * len(windows.at)
         assert all(a <= p < b for a, b, p in zip(windows.first, windows.last, windows.at, strict=True))
 
