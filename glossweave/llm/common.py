@@ -50,6 +50,16 @@ def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads. What was made from them has to be written itself by then, so
+    that a lost executor needs none of them."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def internal(df: DataFrame, label: str) -> str:
     """A column name made of `label` that no column of `df` has, whatever case names are compared in."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import internal, materialize
+from .common import discard, internal, materialize
 
 MIN_WORDS = 50
 GRAM = 8
@@ -283,23 +283,29 @@ def _windows(texts: DataFrame, min_words: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
     """doc_id, tie (hash of the text), first, last: words of stretches that occur earlier, as numbers from 0, last exclusive."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
-    selected = materialize(_positions(texts, min_words, 2 if inside_lines else 1), "lines-positions")
+    positions = materialize(_positions(texts, min_words, 2 if inside_lines else 1), "lines-positions")
     # keys begin with the fingerprint, so that sorts compare one long
-    twice = materialize(selected.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "lines-twice")
+    twice = materialize(positions.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "lines-twice")
     # both sides of the joins are written tables, shuffled plainly, so that a hot key can be split
-    selected = materialize(selected.join(twice, "fp", "left_semi"), "lines-shared", release=True)
+    selected = materialize(positions.join(twice, "fp", "left_semi"), "lines-shared", release=True)
+    discard(positions, twice)
     place = F.struct("doc_id", "tie", "at")
     found = selected.groupBy("fp", "reach").agg(F.min(place).alias("a"), F.max(place).alias("b"))
     classes = materialize(found.select("fp", "reach", "a", (F.col("a") < F.col("b")).alias("shared")), "lines-classes", release=True)
     later = selected.join(classes.where("shared").select("fp", "reach", "a"), ["fp", "reach"]).where(place > F.col("a")).select("doc_id", "tie", "span")
+    later = materialize(later, "lines-later", release=True)
+    discard(selected)
     several = materialize(classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "lines-several")
     ends = classes.join(several, "fp", "left_semi").select(*_plain("a.doc_id", "a.tie"), F.col("a.at").alias("at"))
-    chosen = materialize(ends.groupBy("d", "u", "t").agg(F.collect_set("at").alias("chosen")), "lines-chosen")  # a text's own positions
+    chosen = materialize(ends.groupBy("d", "u", "t").agg(F.collect_set("at").alias("chosen")), "lines-chosen", release=True)  # a text's own positions
+    discard(classes, several)
     once = texts.select("*", *_plain("doc_id", "tie")).join(chosen, ["d", "u", "t"])
     windows = materialize(_windows(once.select("doc_id", "tie", "text", "chosen"), min_words), "lines-windows", release=True)
     begin, key = F.struct("doc_id", "tie", "span"), ["fp", "content"]
     earliest = windows.groupBy(*key).agg(F.min(begin).alias("a"), F.max(begin).alias("b")).where("a <> b").select(*key, "a")
-    again = windows.join(materialize(earliest, "lines-earliest", release=True), key).where(begin > F.col("a")).select("doc_id", "tie", "span")
+    earliest = materialize(earliest, "lines-earliest", release=True)
+    again = materialize(windows.join(earliest, key).where(begin > F.col("a")).select("doc_id", "tie", "span"), "lines-again", release=True)
+    discard(windows, earliest, chosen)
     return later.unionByName(again).select("doc_id", "tie", F.shiftright("span", 32).alias("first"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).alias("last"))
 
 
