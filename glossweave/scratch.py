@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own where none is set."""
+    """The shared folder named by spark.checkpoint.dir. Where none is set, a local master gets one of its own; on a
+    cluster that is an error, since executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glossweave-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
