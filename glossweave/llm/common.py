@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BATCH_BYTES = "8m"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +51,18 @@ def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow` over batches of about BATCH_BYTES at most, so that what a worker and its JVM hold of them
+    does not grow with the length of texts. A session that sets a bound of its own keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(*_BATCH) == _BATCH[1]:  # as Spark has it
+        conf.set(_BATCH[0], BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that no later step reads. What was made from them has to be written itself by then, so
     that a lost executor needs none of them."""

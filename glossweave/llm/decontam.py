@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import internal, materialize
+from .common import in_arrow, internal, materialize
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -229,10 +229,10 @@ def _scans(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFram
     shared = None
     for automata in _passes(benchmark, window, SHARD_WORDS, PASS_WORDS):
         if shared:  # another pass: what the last one found is written, and its automata go
-            found = materialize(found.mapInArrow(scanner(shared), schema), "decontam-pass")
+            found = materialize(in_arrow(found, scanner(shared), schema), "decontam-pass")
             shared.destroy()
         shared = spark.sparkContext.broadcast(automata)
-    return found.mapInArrow(scanner(shared), schema), *added
+    return in_arrow(found, scanner(shared), schema), *added
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -296,4 +296,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 arrays[size] = pa.array(sizes, arrays[size].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return found.select(*columns, spans).mapInArrow(run, docs.schema)
+    return in_arrow(found.select(*columns, spans), run, docs.schema)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 WINDOW = 3
 SHARE = 0.15
 LEAST = 40
@@ -245,4 +247,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_arrow(chosen, run, "page_id long, url string, text string, n_chars long")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, internal, materialize
+from .common import discard, in_arrow, internal, materialize
 
 MIN_WORDS = 50
 GRAM = 8
@@ -258,7 +258,7 @@ def _positions(texts: DataFrame, min_words: int, kinds: int) -> DataFrame:
                     base = t.begins[t.owner(at)]
                     yield _table(t, part, at, [2 * (at - base) + kind, fp, _span(first - base, last - base), reach], names)
 
-    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return in_arrow(texts, run, ", ".join(f"{n} long" for n in names))
 
 
 def _windows(texts: DataFrame, min_words: int) -> DataFrame:
@@ -277,7 +277,7 @@ def _windows(texts: DataFrame, min_words: int) -> DataFrame:
                     begin = t.begins[t.owner(w.at[use])]
                     yield _table(t, part, w.at[use], [_span(w.first[use] - begin, w.last[use] - begin), w.fp[use], w.content[use]], names)
 
-    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return in_arrow(texts, run, ", ".join(f"{n} long" for n in names))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
@@ -347,7 +347,7 @@ def _cut(joined: DataFrame, fields: list) -> DataFrame:
                 arrays[size] = pa.array(sizes, arrays[size].type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return in_arrow(joined, run, schema)
 
 
 def without(text: str | None, runs: list) -> tuple[str | None, int, int]:

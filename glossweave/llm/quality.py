@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_arrow
 from .decontam import words_of
 
 SAMPLE = 10_000
@@ -155,7 +156,7 @@ def _chances(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             chances = [pa.array([1 / (1 + exp(-max(-40.0, min(40.0, s - t)))) for s in scores], pa.float64()) for t in (low, high)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *chances], names=schema.names)
 
-    return packed.mapInArrow(run, schema)
+    return in_arrow(packed, run, schema)
 
 
 def score(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> DataFrame:

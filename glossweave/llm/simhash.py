@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import internal, materialize
+from .common import in_arrow, internal, materialize
 from .components import connected_components
 
 SEED = 42
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:
@@ -217,7 +217,7 @@ def _prints(texts: DataFrame, shingle: int) -> DataFrame:
             sizes = pa.array([len(x) for x in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), sizes, *[pa.array(np.ascontiguousarray(w)) for w in wide.T]], ["doc_id", "tie", "fp", "n", *_WORDS])
 
-    return texts.mapInArrow(run, "doc_id long, tie long, fp long, n long, " + ", ".join(f"{w} long" for w in _WORDS))
+    return in_arrow(texts, run, "doc_id long, tie long, fp long, n long, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
 def _block_keys(nodes: DataFrame, block_bits: int, tables: int) -> DataFrame:
@@ -270,7 +270,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: flo
     ends = unsure.select(F.col("a").alias("fp")).unionByName(unsure.select(F.col("b").alias("fp"))).distinct()
     chosen = nodes.select("fp", "rep.*").join(ends, "fp", "left_semi").select("fp", F.col("doc_id").alias("d"), F.col("tie").alias("t"))
     held = texts.join(chosen, (F.col("tie") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).groupBy("fp").agg(F.min("text").alias("text"))
-    sets = materialize(held.select("fp", "text").mapInArrow(run, "fp long, hashes array<long>"), "copies-sets")
+    sets = materialize(in_arrow(held.select("fp", "text"), run, "fp long, hashes array<long>"), "copies-sets")
     of = lambda c: sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"{c}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     equal = unsure.join(of("a"), "a").join(of("b"), "b").where(shared + _EPSILON >= similar * (F.size("a_set") + F.size("b_set") - shared))

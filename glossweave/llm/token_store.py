@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import scratch_path
+from .common import in_arrow, scratch_path
 
 END_ID = 1
-MEMO = 600_000
-SLAB_BYTES = 4 << 20
+MEMO, MEMO_CHARS = 200_000, 64
+SLAB_BYTES = 1 << 20
 _LETTERS = "a-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
 #: Fixed value: the pre-token pattern for which chunks are cut here; other patterns take the slow way.
@@ -91,9 +91,10 @@ class Encoder:
             found = b"".join(map(self._piece, _PIECE.findall(chunk.lower())))
         else:
             found = self._whole(chunk)
-        if len(self.chunks) >= self.limit:
-            self.chunks.clear()
-        self.chunks[chunk] = found
+        if len(chunk) <= MEMO_CHARS:
+            if len(self.chunks) >= self.limit:
+                self.chunks.clear()
+            self.chunks[chunk] = found
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +183,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
-    return rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text")).mapInArrow(run, SCHEMA)
+    return in_arrow(rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text")), run, SCHEMA)
 
 
 def write_tokens(tokens: DataFrame, path: str, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
