@@ -14,17 +14,18 @@ keeps the components. That is linear in the bucket's size and exact (it holds fo
 other radii the bucket is split by further blocks, see `_refined`).
 
 `near_copies` serves corpus stages, which ask for a similarity of 0.8 by 5-word shingles; such texts differ in
-about 15 % of the bits, far beyond two of 64. So the fingerprint has LANES words of 64 bits over the set of
-shingles. In each of `tables` fixed permutations its bits are split into blocks of `block_bits`, and texts that
-share a block are candidates. A pair within FAR bits (FAR_SHORT where a set has fewer than SHORT shingles) is
-verified; one within SURE is a link as it stands, for the others the Jaccard similarity of the sets decides, so
-no link is below `similar`. FAR is four standard deviations over the mean distance at 0.8. At exactly 0.8 a pair
-shares none of the blocks with a chance of about 0.6 %, at 0.85 of 1 in 100,000 (sets of a few shingles more often).
-The chance that strangers share a block falls by half with each bit of `block_bits`.
-
-A group of copies joins in linear time: in each bucket all members are held against one by hash, then, in buckets
-that still hold different components, against the one with most links. What is left are buckets that hold different components. Small ones make
-all their pairs between components; large ones (over `small_bucket`) do so where a second block is shared too.
+about 15 % of the bits, far beyond two of 64: no pigeonhole over blocks of bits reaches them without loss. So the
+fingerprint has LANES words of 64 bits over the set of shingles, and candidates are texts that share one of the shingles
+which a similar text cannot all lack: a fifth of the set and one more, the first in an order common to all sets. That loses no
+pair, and strangers share none. The order puts frequent shingles last; they are found on a sample, since any
+order gives the same links. Candidates are compared by fingerprint: a pair within SURE bits is a link as it stands, one
+beyond FAR is none (six standard deviations over the mean distance at 0.8; sets under SHORT shingles are always compared),
+and between these the Jaccard similarity of the sets decides, so no link is below `similar`.
+
+A group of copies joins in linear time: in each bucket (texts with one such shingle) all members are held against one by
+hash, then, in buckets that hold different components, against the one with most links; in those over `small_bucket` members
+also against a few others by chance. Then every pair between different components that is left is made, whatever the bucket's
+size. So the work is quadratic only in texts of about one size that share their rarest shingles and yet are no copies.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows share
 a fingerprint, hence a component; a null doc_id never names a component unless it has no other; an empty
@@ -34,12 +35,13 @@ table gives an empty result; other columns of the input are ignored by the queri
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow, internal, materialize
@@ -53,11 +55,10 @@ _SLAB = 1 << 16
 LANES = 16
 COPY_SHINGLE = 5
 SIMILAR = 0.8
-BLOCK_BITS = 22
-TABLES = 4
-FAR, FAR_SHORT, SHORT = 200, 240, 32
+FAR, SHORT = 225, 32
 SURE = 90
-_LEAST_SET = 4  # smaller sets are similar only if they are equal
+ORDER_SAMPLE, COMMON = 1 << 15, 1 << 18
+_BEFORE, _TURNS = 8, 2
 _EPSILON = 1e-9
 
 
@@ -206,45 +207,66 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
 _WORDS = [f"f{k}" for k in range(LANES)]
 
 
-def _prints(texts: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, tie, fp (hash of the shingle set), n (its size), f0 and so on (the wide fingerprint)."""
+def _first(hashes: np.ndarray, similar: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The hashes of a set (ascending) of which every set that is `similar` holds one: as many as may be missing and
+    one more, the first in an order that is the same for all sets. That is by hash, with those in `common` (ascending)
+    behind all others by their ranks."""
+    many = len(hashes) - math.ceil(similar * len(hashes) - _EPSILON) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        known = common[at] == hashes
+        hashes = np.concatenate([hashes[~known], hashes[known][np.argsort(ranks[at[known]])]])
+    return hashes[:many]
+
+
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of frequent shingles, from the rarest to the most frequent. They only set the order in `_first`, any would do
+    for the result; so the COMMON most frequent among ORDER_SAMPLE texts, chosen by hash, are enough."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            for at in range(0, len(sets), 256):
+                some = np.concatenate([np.zeros(0, np.uint64), *sets[at : at + 256]])
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], ["key"])
+
+    rows = texts.count()
+    chosen = texts if rows <= ORDER_SAMPLE else texts.where(F.pmod("tie", F.lit(rows)) < ORDER_SAMPLE)
+    counts = materialize(in_arrow(chosen.select("text"), run, "key long").groupBy("key").agg(F.count("*").alias("m")).where("m > 2"), "copies-common")
+    least, many = 1 << 62, 0
+    for row in sorted(counts.groupBy("m").agg(F.count("*").alias("keys")).collect(), reverse=True):
+        many += row[1]
+        least = row[0] if many <= COMMON else least
+    top = counts.where(F.col("m") >= least).toArrow()
+    keys, m = (top.column(c).to_numpy() for c in ("key", "m"))
+    return keys[np.lexsort((keys, m))].view(np.uint64)
+
+
+def _prints(texts: DataFrame, shingle: int, similar: float, common: np.ndarray) -> DataFrame:
+    """doc_id, tie, fp (hash of the shingle set), n (its size), first (see `_first`), f0 and so on (the wide fingerprint)."""
+    ranks = np.argsort(common, kind="stable")
+    common = common[ranks]
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
             fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             wide = np.array([_wide(x) for x in sets], np.uint64).reshape(len(sets), LANES).view(np.int64)
-            sizes = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), sizes, *[pa.array(np.ascontiguousarray(w)) for w in wide.T]], ["doc_id", "tie", "fp", "n", *_WORDS])
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            first = _lists([_first(x, similar, common, ranks) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), sizes, first, *[pa.array(np.ascontiguousarray(w)) for w in wide.T]], ["doc_id", "tie", "fp", "n", "first", *_WORDS])
 
-    return in_arrow(texts, run, "doc_id long, tie long, fp long, n long, " + ", ".join(f"{w} long" for w in _WORDS))
+    return in_arrow(texts, run, "doc_id long, tie long, fp long, n int, first array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
-def _block_keys(nodes: DataFrame, block_bits: int, tables: int) -> DataFrame:
-    """fp, key: one row for each block of each table; a table is a fixed permutation of the bits cut into blocks."""
-    total = 64 * LANES
-    blocks = total // block_bits
-    orders = np.stack([np.random.default_rng(SEED + t).permutation(total)[: blocks * block_bits] for t in range(tables)])
-    places = (np.arange(tables * blocks, dtype=np.int64) << block_bits)[None]
-    powers = 1 << np.arange(block_bits, dtype=np.int64)
-
-    def run(batches):
-        for batch in batches:
-            wide = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1) if batch.num_rows else np.zeros((0, LANES), np.int64)
-            ids = batch.column(0).to_numpy()
-            for at in range(0, len(ids), 512):
-                bits = np.unpackbits(np.ascontiguousarray(wide[at : at + 512]).view(np.uint8), axis=1, bitorder="little")
-                values = bits[:, orders.ravel()].reshape(len(bits), tables * blocks, block_bits) @ powers
-                keys = (values | places).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 512], tables * blocks)), pa.array(keys)], ["fp", "key"])
-
-    return nodes.select("fp", *_WORDS).mapInArrow(run, "fp long, key long")
+def _meet(a: str, b: str, similar: float):
+    """Whether sets whose first common shingle stands at these places of their orders can be similar."""
+    return F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) + _EPSILON >= similar / (1 + similar) * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
-def _near(a: str, b: str, similar: float):
-    """Whether the nodes with column prefixes a and b can be similar by their sizes and their Hamming distance."""
-    sized = F.least(f"{a}n", f"{b}n") + _EPSILON >= similar * F.greatest(f"{a}n", f"{b}n")
-    return sized & (_bits(a, b) <= F.when(F.least(f"{a}n", f"{b}n") < SHORT, FAR_SHORT).otherwise(FAR))
+def _near(a: str, b: str):
+    """Whether the nodes with column prefixes a and b can be similar by their Hamming distance."""
+    return (F.least(f"{a}n", f"{b}n") < SHORT) | (_bits(a, b) <= FAR)
 
 
 def _bits(a: str, b: str):
@@ -265,7 +287,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t, shingle) for t in batch.column(1).to_pylist()])], ["fp", "hashes"])
 
     both = pairs.distinct().join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b")
-    close = materialize(both.where(_near("a", "b", similar)).select("a", "b", _bits("a", "b").alias("bits")), "copies-close")
+    close = materialize(both.where(_near("a", "b")).select("a", "b", _bits("a", "b").alias("bits")), "copies-close")
     unsure = close.where(F.col("bits") > SURE).select("a", "b")
     ends = unsure.select(F.col("a").alias("fp")).unionByName(unsure.select(F.col("b").alias("fp"))).distinct()
     chosen = nodes.select("fp", "rep.*").join(ends, "fp", "left_semi").select("fp", F.col("doc_id").alias("d"), F.col("tie").alias("t"))
@@ -281,65 +303,77 @@ def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _copy_edges(nodes: DataFrame, texts: DataFrame, similar: float, shingle: int, small_bucket: int, block_bits: int, tables: int) -> DataFrame:
-    """Edges a, b that keep the components of the similar pairs that share a block."""
-    keys = _block_keys(nodes.where(F.col("n") >= _LEAST_SET), block_bits, tables)
+def _copy_edges(nodes: DataFrame, texts: DataFrame, similar: float, shingle: int, small_bucket: int) -> DataFrame:
+    """Edges a, b that keep the components of the similar pairs."""
+    keys = nodes.select("fp", "n", F.posexplode("first").alias("pos", "key"))
     counts = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "copies-counts")
     shared = materialize(keys.join(counts, "key"), "copies-shared")  # so that both sides are shuffled plainly and a hot one can be split
 
     def led(rows: DataFrame, rank, *more: str) -> DataFrame:
-        """Each member of a bucket with the bucket's member of the least rank as `first`, and that one's columns `more`."""
+        """The members of each bucket but its member of the least rank, with that one as `first` and its columns."""
+        more = ("n", "pos", *more)
         least = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "fp", *more)).alias("first"))
         first = least.select("key", F.col("first.fp").alias("first"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in more])
-        return rows.join(materialize(first, "copies-leaders"), "key").where("fp <> first")
+        return materialize(rows.join(materialize(first, "copies-leaders"), "key").where("fp <> first"), "copies-led")
 
-    def mixed(rows: DataFrame, on: list[str]) -> DataFrame:
-        """The rows of buckets that hold different components."""
-        some = rows.groupBy(*on).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select(*on, "size")
-        return materialize(rows.join(materialize(some, "copies-mixed"), on), "copies-split")
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.where(_meet("", "first_", similar)).select(*_ordered("fp", "first"))
 
     def unsettled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        """The rows of buckets that hold different components."""
         roots = connected_components(edges).withColumnRenamed("node", "fp")
-        return mixed(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), ["key"])
-
-    edges = _verified(led(shared, F.xxhash64("fp")).select(*_ordered("fp", "first")).distinct(), nodes, texts, similar, shingle)
-    # once more in buckets that hold different components, with the member that has most links, which is nearest to
-    # the centre of its group; pairs within a component are settled, so none that is a link already comes again
-    rest = unsettled(shared.select("key", "fp"), edges)
-    links = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg((-F.count("*")).alias("links"))
-    linked = rest.join(materialize(links, "copies-links"), "fp", "left").select("key", "fp", "root", F.coalesce("links", F.lit(0)).alias("links"))
-    again = led(materialize(linked, "copies-linked"), F.col("links"), "root").where("root <> first_root").select(*_ordered("fp", "first")).distinct()
-    edges = edges.unionByName(_verified(again, nodes, texts, similar, shingle))
-    rest = unsettled(rest.select("key", "fp"), edges)
-
-    def paired(rows: DataFrame, on: list[str]) -> DataFrame:
-        rows = rows.join(nodes.select("fp", "n", *_WORDS), "fp")
-        other = (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br"))
-        left, right = (_side(rows.withColumn(f"{c}r", F.col("root")), c, *on, f"{c}r") for c in ("a", "b"))
-        return left.join(right, on).where(other & _near("a", "b", similar)).select("a", "b")
-
-    few, many = rest.where(F.col("size") <= small_bucket), rest.where(F.col("size") > small_bucket)
-    pairs = paired(few, ["key"])
-    if not many.isEmpty():  # large buckets are split by a second block
-        others = keys.join(many.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("key").alias("other"))
-        split = many.select("key", "fp", "root").join(others, "fp").where("key <> other")
-        pairs = pairs.unionByName(paired(mixed(split, ["key", "other"]), ["key", "other"]))
-    # none of these is tested already as a link: links join one component, these join two
-    return edges.unionByName(_verified(pairs, nodes, texts, similar, shingle))
-
-
-def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = COPY_SHINGLE, small_bucket: int = SMALL_BUCKET, block_bits: int = BLOCK_BITS, tables: int = TABLES) -> DataFrame:
+        rows = rows.select("key", "fp", "n", "pos").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        some = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
+        return materialize(rows.join(materialize(some, "copies-mixed"), "key"), "copies-split")
+
+    def central(rest: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members against the one with most links, which is nearest to the centre of its group, where buckets hold
+        different components; pairs within a component are settled, so none that is a link already comes again."""
+        links = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg((-F.count("*")).alias("links"))
+        linked = rest.join(materialize(links, "copies-links"), "fp", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        others = led(materialize(linked, "copies-linked"), F.col("links"), "root")
+        edges = edges.unionByName(_verified(met(others.where("root <> first_root")), nodes, texts, similar, shingle))
+        return unsettled(others, edges), edges
+
+    once = led(shared, F.xxhash64("fp"))
+    edges = _verified(met(once), nodes, texts, similar, shingle)
+    rest, edges = central(unsettled(once.where("m > 2"), edges), edges)
+
+    def paired(rows: DataFrame, on: list[str], more) -> DataFrame:
+        """The pairs between different components in the same bucket for which `more` holds."""
+        rows = rows.join(nodes.select("fp", *_WORDS), "fp")
+        sides = (_side(rows, c, *on, *[F.col(x).alias(f"{c}{x}") for x in ("root", "pos", "earlier")]) for c in ("a", "b"))
+        other = (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & _meet("a", "b", similar)
+        return next(sides).join(next(sides), on).where(other & more & _near("a", "b")).select("a", "b")
+
+    # large buckets are dealt into parts of a few members by chance, other ones for each shingle: as members share many
+    # shingles, a group that has links enough comes together without most of its pairs
+    for turn in range(_TURNS):
+        large = rest.where(F.col("size") > small_bucket)
+        if large.isEmpty():
+            break
+        part = F.pmod(F.xxhash64("fp", "key", F.lit(turn)), F.ceil(F.col("size") / max(2, small_bucket // 8)))
+        dealt = large.withColumn("part", part).withColumn("earlier", F.lit(None).cast("array<long>"))
+        edges = edges.unionByName(_verified(paired(dealt, ["key", "part"], F.lit(True)), nodes, texts, similar, shingle))
+        rest, edges = central(unsettled(rest, edges), edges)
+    # then every pair that is left, in the first of its buckets: where both have come to one shortly before, it is passed over
+    before = Window.partitionBy("fp").orderBy("pos").rowsBetween(-_BEFORE, -1)
+    once = ~F.arrays_overlap("aearlier", "bearlier")
+    return edges.unionByName(_verified(paired(rest.withColumn("earlier", F.collect_list("key").over(before)), ["key"], once), nodes, texts, similar, shingle))
+
+
+def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = COPY_SHINGLE, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links of texts with that Jaccard similarity reach."""
-    return _grouped(docs, similar, shingle, small_bucket, block_bits, tables).select("doc_id", F.col("first.doc_id").alias("component_id"))
+    return _grouped(docs, similar, shingle, small_bucket).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
-def _grouped(docs: DataFrame, similar: float, shingle: int, small_bucket: int, block_bits: int, tables: int) -> DataFrame:
+def _grouped(docs: DataFrame, similar: float, shingle: int, small_bucket: int) -> DataFrame:
     """doc_id, tie (hash of the text) of every row; first: the least (unnamed, doc_id, tie) of its component, null ids last."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
-    prints = materialize(_prints(texts, shingle), "copies-prints")
+    prints = materialize(_prints(texts, shingle, similar, _common(texts, shingle)), "copies-prints")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")).alias("rep")
-    nodes = materialize(prints.groupBy("fp").agg(rep, F.min("n").alias("n"), *[F.min(w).alias(w) for w in _WORDS]), "copies-nodes")
-    edges = _copy_edges(nodes, texts, similar, shingle, small_bucket, block_bits, tables)
+    nodes = materialize(prints.groupBy("fp").agg(rep, F.min("n").alias("n"), F.first("first").alias("first"), *[F.min(w).alias(w) for w in _WORDS]), "copies-nodes")
+    edges = _copy_edges(nodes, texts, similar, shingle, small_bucket)
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     named = materialize(nodes.select("fp", "rep").join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "copies-named")
     first = materialize(named.groupBy("root").agg(F.min("rep").alias("first")), "copies-first")
@@ -351,7 +385,7 @@ def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int
     """One document of each group of near copies, in the columns of `docs`: the one with the smallest doc_id, then
     the least hash of its text. Rows that agree in both are one document and stay alike. Only where no text of a
     group has a doc_id, a row without one stays, and then a single one."""
-    classes = _grouped(docs, similar, shingle, SMALL_BUCKET, BLOCK_BITS, TABLES)
+    classes = _grouped(docs, similar, shingle, SMALL_BUCKET)
     chosen = materialize(classes.select("first.*").distinct(), "copies-kept")
     tie = internal(docs, "tie")
     keyed = docs.withColumn(tie, F.xxhash64(F.col("text").cast("string")))

@@ -185,6 +185,20 @@ def test_copies_match_brute_force_at_the_similarity(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("bucket", [64, 3])
+def test_no_pair_is_lost_whatever_the_bucket(spark, bucket):
+    """Pairs barely over the similarity, most beside strangers that share a passage: each is linked, in small buckets and in large."""
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for k in range(700):
+        words = [*(passage if k % 2 else []), *(f"w{rng.randrange(90_000)}" for _ in range(100 - 30 * (k % 2)))]
+        rows.append((2 * k, " ".join(words), "en", 1, 2))
+        rows.append((2 * k + 1, " ".join([*words[:40], "new", *words[41:80], "new", *words[81:]]), "en", 1, 2))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, DOCS), small_bucket=bucket).collect()}
+    assert got == {k: k - k % 2 for k in range(1400)}
+
+
 def slow_line_dedup(rows, min_words):
     """Every run of every document against all that stand earlier."""
     parsed = []
