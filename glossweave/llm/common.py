@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_BYTES = "8m"
+FILTER_BITS = 1 << 25
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,13 +58,45 @@ def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
 _BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")
 
 
-def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make):
+    """What `make` gives, for this worker process's later tasks too, until a task asks for another key or keeps nothing."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: a worker process outlives its task and else stays as large as the task was."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, run, schema, keeps: bool = False) -> DataFrame:
     """`df.mapInArrow` over batches of about BATCH_BYTES at most, so that what a worker and its JVM hold of them
-    does not grow with the length of texts. A session that sets a bound of its own keeps it."""
+    does not grow with the length of texts. A session that sets a bound of its own keeps it. Worker processes serve one
+    operator after another, so what is `kept` goes unless `run` keeps it, and a task's free memory goes at its end."""
     conf = df.sparkSession.conf
     if conf.get(*_BATCH) == _BATCH[1]:  # as Spark has it
         conf.set(_BATCH[0], BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches):
+        if not keeps:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -73,6 +109,19 @@ def discard(*tables: DataFrame) -> None:
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def likely(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose `column` (a long hash) may be among those in `keys`, null ones not: a filter before a join that
+    most rows would only be shuffled for. It passes every match and about as large a share of the others as there are
+    keys to FILTER_BITS; the broadcast has FILTER_BITS bits at most, whatever the number of keys."""
+    place = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS))
+    at, bucket, bits = (internal(rows, x) for x in ("at", "bucket", "bits"))
+    maps = keys.select(place(key).alias(at)).groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    found = rows.withColumn(at, place(column)).withColumn(bucket, F.bitmap_bucket_number(at)).join(F.broadcast(maps), bucket)
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(bits, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def internal(df: DataFrame, label: str) -> str:
     """A column name made of `label` that no column of `df` has, whatever case names are compared in."""
     taken = {c.lower() for c in df.columns}

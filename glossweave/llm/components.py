@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = materialize(large, f"components-{step}-large")
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"components-{step}-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))
-        after = materialize(small.where("u <> v").distinct(), f"components-{step + 1}")
+        after = materialize(small.where("u <> v").distinct(), f"components-{step + 1}", release=True)
+        discard(stars, least, large, low)
         ends = after.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(after.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
         degree = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
         done = degree.where("child > 1 or (child > 0 and parent > 0)").isEmpty()  # only stars are left

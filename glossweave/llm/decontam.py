@@ -195,8 +195,9 @@ def _passes(benchmark: DataFrame, window: int, shard_words: int, pass_words: int
         yield held
 
 
-def _scans(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, str, str, str]:
-    """The columns of `docs`, and under names of their own: the number of words, the hit spans, the items."""
+def _scans(docs: DataFrame, benchmark: DataFrame, window: int, finish=None) -> tuple[DataFrame, str, str, str]:
+    """The columns of `docs`, and under names of their own: the number of words, the hit spans, the items. `finish` turns
+    such batches into rows like those of `docs` in the last pass itself, so that a task has one Python worker, not two."""
     spark = docs.sparkSession
     columns = docs.columns
     added = size, spans, items = [internal(docs, x) for x in ("words", "spans", "items")]
@@ -205,7 +206,7 @@ def _scans(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFram
     none = lambda kind: F.lit(None).cast(kind)
     found = docs.select(*columns, F.lit(0).cast("long").alias(size), none(schema[spans].dataType).alias(spans), none(schema[items].dataType).alias(items))
 
-    def scanner(shared):
+    def scanner(shared, finish=None):
         at = columns.index("text")
 
         def run(batches):
@@ -222,7 +223,8 @@ def _scans(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFram
                     for column, x in zip(out, (len(words), s, sorted(f)), strict=True):
                         column.append(x)
                 arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64())), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *arrays], names=schema.names)
+                scanned = pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *arrays], names=schema.names)
+                yield finish(scanned) if finish else scanned
 
         return run
 
@@ -232,7 +234,7 @@ def _scans(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFram
             found = materialize(in_arrow(found, scanner(shared), schema), "decontam-pass")
             shared.destroy()
         shared = spark.sparkContext.broadcast(automata)
-    return in_arrow(found, scanner(shared), schema), *added
+    return in_arrow(found, scanner(shared, finish), docs.schema if finish else schema), *added
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -274,26 +276,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """The columns of `docs`: hit spans are cut from `text`, and documents with at least `max_coverage` of
     their words hit, or nothing left after the cut, are dropped. n_chars, where present, follows the new text."""
     columns = docs.columns
-    found, words, spans, _ = _scans(docs, benchmark, window)
-    hit = _hit(spans)
-    found = found.where((hit == 0) | (hit < max_coverage * F.col(words)))
     at, size = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
-    def run(batches):
-        for batch in batches:
-            arrays = list(batch.columns[:-1])
-            texts = arrays[at].to_pylist()
-            sizes = arrays[size].to_pylist() if size is not None else None
-            keep = []
-            for k, s in enumerate(batch.column(len(columns)).to_pylist()):
-                if s:
-                    texts[k] = cut(texts[k], s)
-                    if sizes:
-                        sizes[k] = len(texts[k])
-                keep.append(not s or bool(texts[k]))
-            arrays[at] = pa.array(texts, arrays[at].type)
-            if sizes is not None:
-                arrays[size] = pa.array(sizes, arrays[size].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
-
-    return in_arrow(found.select(*columns, spans), run, docs.schema)
+    def finish(batch):
+        arrays = list(batch.columns[: len(columns)])
+        texts = arrays[at].to_pylist()
+        sizes = arrays[size].to_pylist() if size is not None else None
+        keep = []
+        for k, (n, s) in enumerate(zip(*(batch.column(len(columns) + j).to_pylist() for j in (0, 1)), strict=True)):
+            few = sum(b - a for a, b in s) < max_coverage * n
+            if s and few:
+                texts[k] = cut(texts[k], s)
+                if sizes:
+                    sizes[k] = len(texts[k])
+            keep.append(not s or (few and bool(texts[k])))
+        arrays[at] = pa.array(texts, arrays[at].type)
+        if sizes is not None:
+            arrays[size] = pa.array(sizes, arrays[size].type)
+        return pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
+
+    return _scans(docs, benchmark, window, finish)[0]

@@ -133,7 +133,7 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, **options) -
     rated = texts.join(F.broadcast(chosen), "doc_id")  # `sample` pairs of numbers at most
     # repeated documents of one id: one of them, so that no more than `sample` rows reach the driver
     one = rated.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
-    rows = one.mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    rows = in_arrow(one, run, "doc_id long, grade int, features array<int>").toArrow().sort_by([("doc_id", "ascending")])
     return fit([(g, np.sort(f)) for g, f in zip(rows["grade"].to_pylist(), (np.array(x.as_py(), np.int64) for x in rows["features"]), strict=True)], **options)
 
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, internal, materialize
+from .common import discard, in_arrow, internal, likely, materialize
 from .components import connected_components
 
 SEED = 42
@@ -287,57 +287,75 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t, shingle) for t in batch.column(1).to_pylist()])], ["fp", "hashes"])
 
     both = pairs.distinct().join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b")
-    close = materialize(both.where(_near("a", "b")).select("a", "b", _bits("a", "b").alias("bits")), "copies-close")
+    close = materialize(both.where(_near("a", "b")).select("a", "b", _bits("a", "b").alias("bits")), "copies-close", release=True)
     unsure = close.where(F.col("bits") > SURE).select("a", "b")
     ends = unsure.select(F.col("a").alias("fp")).unionByName(unsure.select(F.col("b").alias("fp"))).distinct()
     chosen = nodes.select("fp", "rep.*").join(ends, "fp", "left_semi").select("fp", F.col("doc_id").alias("d"), F.col("tie").alias("t"))
-    held = texts.join(chosen, (F.col("tie") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).groupBy("fp").agg(F.min("text").alias("text"))
-    sets = materialize(in_arrow(held.select("fp", "text"), run, "fp long, hashes array<long>"), "copies-sets")
+    chosen = materialize(chosen, "copies-ends")
+    # a few texts of all: the others do not go into the shuffle
+    held = likely(texts, "tie", chosen, "t").join(chosen, (F.col("tie") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).groupBy("fp").agg(F.min("text").alias("text"))
+    sets = materialize(in_arrow(held.select("fp", "text"), run, "fp long, hashes array<long>"), "copies-sets", release=True)
     of = lambda c: sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"{c}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     equal = unsure.join(of("a"), "a").join(of("b"), "b").where(shared + _EPSILON >= similar * (F.size("a_set") + F.size("b_set") - shared))
-    return materialize(close.where(F.col("bits") <= SURE).select("a", "b").unionByName(equal.select("a", "b")), "copies-edges")
+    edges = materialize(close.where(F.col("bits") <= SURE).select("a", "b").unionByName(equal.select("a", "b")), "copies-edges", release=True)
+    discard(close, chosen, sets)
+    return edges
 
 
 def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _copy_edges(nodes: DataFrame, texts: DataFrame, similar: float, shingle: int, small_bucket: int) -> DataFrame:
-    """Edges a, b that keep the components of the similar pairs."""
+def _shared_keys(nodes: DataFrame) -> DataFrame:
+    """key, fp, n, pos, m: the first shingles that m > 1 nodes have in common."""
     keys = nodes.select("fp", "n", F.posexplode("first").alias("pos", "key"))
-    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "copies-counts")
-    shared = materialize(keys.join(counts, "key"), "copies-shared")  # so that both sides are shuffled plainly and a hot one can be split
+    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "copies-counts", release=True)
+    shared = materialize(keys.join(counts, "key"), "copies-shared", release=True)  # both sides are shuffled plainly, so that a hot one can be split
+    discard(counts)
+    return shared
+
+
+def _copy_edges(shared: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float, shingle: int, small_bucket: int) -> DataFrame:
+    """Edges a, b that keep the components of the similar pairs. `shared` and every table that no later step reads are deleted."""
 
     def led(rows: DataFrame, rank, *more: str) -> DataFrame:
         """The members of each bucket but its member of the least rank, with that one as `first` and its columns."""
         more = ("n", "pos", *more)
         least = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "fp", *more)).alias("first"))
         first = least.select("key", F.col("first.fp").alias("first"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in more])
-        return materialize(rows.join(materialize(first, "copies-leaders"), "key").where("fp <> first"), "copies-led")
+        first = materialize(first, "copies-leaders")
+        found = materialize(rows.join(first, "key").where("fp <> first"), "copies-led", release=True)
+        discard(rows, first)
+        return found
 
     def met(rows: DataFrame) -> DataFrame:
         return rows.where(_meet("", "first_", similar)).select(*_ordered("fp", "first"))
 
-    def unsettled(rows: DataFrame, edges: DataFrame) -> DataFrame:
-        """The rows of buckets that hold different components."""
+    def unsettled(written: DataFrame, edges: DataFrame, chosen: str = "true") -> DataFrame:
+        """The rows `chosen` of a written table, which goes, whose buckets hold different components."""
         roots = connected_components(edges).withColumnRenamed("node", "fp")
-        rows = rows.select("key", "fp", "n", "pos").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        rows = written.where(chosen).select("key", "fp", "n", "pos").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         some = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
-        return materialize(rows.join(materialize(some, "copies-mixed"), "key"), "copies-split")
+        some = materialize(some, "copies-mixed")
+        found = materialize(rows.join(some, "key"), "copies-split", release=True)
+        discard(written, some, roots)
+        return found
 
     def central(rest: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members against the one with most links, which is nearest to the centre of its group, where buckets hold
         different components; pairs within a component are settled, so none that is a link already comes again."""
         links = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg((-F.count("*")).alias("links"))
-        linked = rest.join(materialize(links, "copies-links"), "fp", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-        others = led(materialize(linked, "copies-linked"), F.col("links"), "root")
+        links = materialize(links, "copies-links")
+        linked = materialize(rest.join(links, "fp", "left").withColumn("links", F.coalesce("links", F.lit(0))), "copies-linked")
+        discard(rest, links)
+        others = led(linked, F.col("links"), "root")
         edges = edges.unionByName(_verified(met(others.where("root <> first_root")), nodes, texts, similar, shingle))
         return unsettled(others, edges), edges
 
     once = led(shared, F.xxhash64("fp"))
     edges = _verified(met(once), nodes, texts, similar, shingle)
-    rest, edges = central(unsettled(once.where("m > 2"), edges), edges)
+    rest, edges = central(unsettled(once, edges, "m > 2"), edges)
 
     def paired(rows: DataFrame, on: list[str], more) -> DataFrame:
         """The pairs between different components in the same bucket for which `more` holds."""
@@ -359,34 +377,44 @@ def _copy_edges(nodes: DataFrame, texts: DataFrame, similar: float, shingle: int
     # then every pair that is left, in the first of its buckets: where both have come to one shortly before, it is passed over
     before = Window.partitionBy("fp").orderBy("pos").rowsBetween(-_BEFORE, -1)
     once = ~F.arrays_overlap("aearlier", "bearlier")
-    return edges.unionByName(_verified(paired(rest.withColumn("earlier", F.collect_list("key").over(before)), ["key"], once), nodes, texts, similar, shingle))
+    edges = edges.unionByName(_verified(paired(rest.withColumn("earlier", F.collect_list("key").over(before)), ["key"], once), nodes, texts, similar, shingle))
+    discard(rest)
+    return edges
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR, shingle: int = COPY_SHINGLE, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links of texts with that Jaccard similarity reach."""
-    return _grouped(docs, similar, shingle, small_bucket).select("doc_id", F.col("first.doc_id").alias("component_id"))
+    rows, named, first = _grouped(docs, similar, shingle, small_bucket)
+    classes = materialize(named.join(first, "root").select("fp", "first"), "copies-classes")
+    return rows.join(classes, "fp").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
-def _grouped(docs: DataFrame, similar: float, shingle: int, small_bucket: int) -> DataFrame:
-    """doc_id, tie (hash of the text) of every row; first: the least (unnamed, doc_id, tie) of its component, null ids last."""
+def _grouped(docs: DataFrame, similar: float, shingle: int, small_bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, tie (hash of the text), fp of every row; fp, rep, root of every node; root, first: the least
+    (unnamed, doc_id, tie) of each component, null ids last."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
-    prints = materialize(_prints(texts, shingle, similar, _common(texts, shingle)), "copies-prints")
+    prints = materialize(_prints(texts, shingle, similar, _common(texts, shingle)), "copies-prints", release=True)
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")).alias("rep")
-    nodes = materialize(prints.groupBy("fp").agg(rep, F.min("n").alias("n"), F.first("first").alias("first"), *[F.min(w).alias(w) for w in _WORDS]), "copies-nodes")
-    edges = _copy_edges(nodes, texts, similar, shingle, small_bucket)
+    grouped = prints.groupBy("fp").agg(rep, F.min("n").alias("n"), F.first("first").alias("first"), *[F.min(w).alias(w) for w in _WORDS])
+    full = materialize(grouped, "copies-full", release=True)
+    rows = materialize(prints.select("doc_id", "tie", "fp"), "copies-rows")
+    discard(prints)
+    nodes, shared = materialize(full.drop("first"), "copies-nodes"), _shared_keys(full)
+    discard(full)
+    edges = _copy_edges(shared, nodes, texts, similar, shingle, small_bucket)
     roots = connected_components(edges).withColumnRenamed("node", "fp")
-    named = materialize(nodes.select("fp", "rep").join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "copies-named")
-    first = materialize(named.groupBy("root").agg(F.min("rep").alias("first")), "copies-first")
-    classes = materialize(named.join(first, "root").select("fp", "first"), "copies-classes")
-    return prints.select("doc_id", "tie", "fp").join(classes, "fp").select("doc_id", "tie", "first")
+    named = materialize(nodes.select("fp", "rep").join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "copies-named", release=True)
+    discard(nodes, edges, roots)
+    return rows, named, materialize(named.groupBy("root").agg(F.min("rep").alias("first")), "copies-first", release=True)
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = COPY_SHINGLE) -> DataFrame:
     """One document of each group of near copies, in the columns of `docs`: the one with the smallest doc_id, then
     the least hash of its text. Rows that agree in both are one document and stay alike. Only where no text of a
     group has a doc_id, a row without one stays, and then a single one."""
-    classes = _grouped(docs, similar, shingle, SMALL_BUCKET)
-    chosen = materialize(classes.select("first.*").distinct(), "copies-kept")
+    rows, named, first = _grouped(docs, similar, shingle, SMALL_BUCKET)
+    chosen = materialize(first.select("first.*").distinct(), "copies-kept", release=True)
+    discard(rows, named, first)
     tie = internal(docs, "tie")
     keyed = docs.withColumn(tie, F.xxhash64(F.col("text").cast("string")))
     name = lambda unnamed: chosen.where(F.col("unnamed") == unnamed).select(F.col("doc_id").alias(f"{tie}d"), F.col("tie").alias(f"{tie}t"))

@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import in_arrow, scratch_path
+from .common import in_arrow, kept, scratch_path
 
 END_ID = 1
-MEMO, MEMO_CHARS = 200_000, 64
-SLAB_BYTES = 1 << 20
+MEMO, MEMO_CHARS = 400_000, 64
+SLAB_BYTES = 1 << 22
 _LETTERS = "a-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
 #: Fixed value: the pre-token pattern for which chunks are cut here; other patterns take the slow way.
@@ -64,6 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -73,19 +74,27 @@ class Encoder:
             and [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
             and spec.get("post_processor") is None
         )
-        self.limit = memo
+        # two generations of half the memo each: when the new one is full it becomes the old one, whose chunks come back
+        # as they are asked for, so that frequent ones stay
+        self.limit = max(1, memo // 2)
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.alphabet = _byte_characters()
+        self.spelled = [k.to_bytes(4, "little") for k in range(1 + max(self.tokenizer.get_vocab().values(), default=0))]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+        code = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+        spelled = self.spelled
+        return b"".join([spelled[t.id] for t in self.model.tokenize(code)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
+        found = self.older.get(chunk)
+        if found is not None:
+            pass
+        elif chunk.isascii() and chunk.isalpha():
             found = self._piece(chunk.lower())
         elif _PLAIN.fullmatch(chunk):
             found = b"".join(map(self._piece, _PIECE.findall(chunk.lower())))
@@ -93,7 +102,7 @@ class Encoder:
             found = self._whole(chunk)
         if len(chunk) <= MEMO_CHARS:
             if len(self.chunks) >= self.limit:
-                self.chunks.clear()
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = found
         return found
 
@@ -106,27 +115,25 @@ class Encoder:
         parts = pc.ascii_split_whitespace(pc.if_else(plain, pc.replace_substring_regex(pc.ascii_lower(texts), _MARKS, r" \1 "), texts))
         edges = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
-        known = self.chunks
-        found = [ids if (ids := known.get(c)) is not None else self._chunk(c) for c in coded.dictionary.to_pylist()]
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+        found = list(map(self.chunks.get, chunks))
+        for k, ids in enumerate(found):
+            if ids is None:
+                found[k] = self._chunk(chunks[k])
         pool = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
-        sizes = np.fromiter((len(x) >> 2 for x in found), np.int64, len(found))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         begins = np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy()
         per = sizes[which]
         until = np.concatenate([[0], np.cumsum(per)])
-        at = np.repeat(begins[which] - until[:-1], per)
-        at += np.arange(len(at))
+        at = np.repeat((begins[which] - until[:-1]).astype(np.int32), per)  # a slab's ids are fewer than 2^31
+        at += np.arange(len(at), dtype=np.int32)
         return pool[at], until[edges[1:]] - until[edges[:-1]]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
-    """The encoder of this worker process: its memo serves one task after another."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The encoder of this worker process: its memo serves one task after another, until another operator's task comes."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +190,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
-    return in_arrow(rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text")), run, SCHEMA)
+    return in_arrow(rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text")), run, SCHEMA, keeps=True)
 
 
 def write_tokens(tokens: DataFrame, path: str, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
@@ -216,7 +223,7 @@ def checksums(stored: DataFrame) -> DataFrame:
             sizes = np.diff(edges).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes), pa.array(sums, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
-    read = stored.select("doc_id", "part", "local_start", "n_tokens", "ids").mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    read = in_arrow(stored.select("doc_id", "part", "local_start", "n_tokens", "ids"), run, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
     placed = read.join(F.broadcast(starts(stored)), "part")
     return placed.select("doc_id", (F.col("part_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
