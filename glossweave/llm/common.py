@@ -70,7 +70,10 @@ def kept(key: str, make):
 
 
 def forget() -> None:
-    _KEPT.clear()
+    """What is kept goes, and its memory goes back to the system before the task takes any of its own."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
 
 
 def give_back() -> None:

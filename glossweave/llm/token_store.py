@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import in_arrow, kept, scratch_path
+from .common import give_back, in_arrow, kept, scratch_path
 
 END_ID = 1
 MEMO, MEMO_CHARS = 400_000, 64
@@ -90,20 +90,27 @@ class Encoder:
         spelled = self.spelled
         return b"".join([spelled[t.id] for t in self.model.tokenize(code)])
 
-    def _chunk(self, chunk: str) -> bytes:
-        found = self.older.get(chunk)
-        if found is not None:
-            pass
-        elif chunk.isascii() and chunk.isalpha():
-            found = self._piece(chunk.lower())
-        elif _PLAIN.fullmatch(chunk):
-            found = b"".join(map(self._piece, _PIECE.findall(chunk.lower())))
-        else:
-            found = self._whole(chunk)
-        if len(chunk) <= MEMO_CHARS:
-            if len(self.chunks) >= self.limit:
-                self.older, self.chunks = self.chunks, {}
-            self.chunks[chunk] = found
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk. One loop without calls of its own: most of the time goes into rare words."""
+        found = list(map(self.chunks.get, chunks))
+        tokenize, spelled, join, older = self.model.tokenize, self.spelled, b"".join, self.older.get
+        for k, chunk in enumerate(chunks):
+            if found[k] is not None:
+                continue
+            ids = older(chunk)
+            if ids is None:
+                if chunk.isascii() and chunk.isalpha():
+                    ids = join([spelled[t.id] for t in tokenize(chunk.lower())])
+                elif _PLAIN.fullmatch(chunk):
+                    ids = join(map(self._piece, _PIECE.findall(chunk.lower())))
+                else:
+                    ids = self._whole(chunk)
+            if len(chunk) <= MEMO_CHARS:
+                if len(self.chunks) >= self.limit:
+                    self.older, self.chunks = self.chunks, {}
+                    older = self.older.get
+                self.chunks[chunk] = ids
+            found[k] = ids
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +123,7 @@ class Encoder:
         edges = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
         chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
-        found = list(map(self.chunks.get, chunks))
-        for k, ids in enumerate(found):
-            if ids is None:
-                found[k] = self._chunk(chunks[k])
+        found = self._look_up(chunks)
         pool = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         begins = np.cumsum(sizes) - sizes
@@ -187,6 +191,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
                 columns = [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(edges[:-1] + start), pa.array(sizes), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=SCHEMA.names)
                 start += int(edges[-1])
+                del ids, sizes, lists, columns
+            give_back()  # else allocators hold as much as the memo itself
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")

@@ -70,6 +70,36 @@ def test_small_memo_gives_the_same_ids():
     assert small == large
 
 
+def test_rare_words_take_no_call_each():
+    import sys
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(5000)})
+    encoder, calls = token_store.Encoder(tokenizer_path(), memo=64), []
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event == "call" else None)
+    try:
+        ids, _ = encoder.encode(pa.array([" ".join(words)]))
+    finally:
+        sys.setprofile(None)
+    assert ids.tolist() == encoder.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert len(calls) < len(words) / 5
+
+
+def test_kept_memory_goes_back_before_the_next_operator(monkeypatch):
+    from glossweave.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "_KEPT", {})
+    monkeypatch.setattr(common, "give_back", lambda: given.append(dict(common._KEPT)))
+    common.forget()
+    assert given == []  # nothing was kept
+    common.kept("encoder", lambda: bytes(1 << 20))
+    common.forget()
+    assert given == [{}]
+
+
 # --- neighbours ---
 
 
