@@ -22,10 +22,12 @@ order gives the same links. Candidates are compared by fingerprint: a pair withi
 beyond FAR is none (six standard deviations over the mean distance at 0.8; sets under SHORT shingles are always compared),
 and between these the Jaccard similarity of the sets decides, so no link is below `similar`.
 
-A group of copies joins in linear time: in each bucket (texts with one such shingle) all members are held against one by
-hash, then, in buckets that hold different components, against the one with most links; in those over `small_bucket` members
-also against a few others by chance. Then every pair between different components that is left is made, whatever the bucket's
-size. So the work is quadratic only in texts of about one size that share their rarest shingles and yet are no copies.
+A group of copies joins in linear time: in each bucket (texts with one such shingle) all members are held against the one
+that has most shingles in common with others, the original if it is there; in buckets that still
+hold over `small_bucket` pairs of different components for each member also against a few others by chance. Then every pair between different components that is left is
+made, whatever the bucket's size. A place in a bucket goes beforehand if so many of the text's shingles are rarer that no other
+member's set can be similar. So the work is quadratic only in texts of about one size that share their rarest shingles and yet are
+no copies.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows share
 a fingerprint, hence a component; a null doc_id never names a component unless it has no other; an empty
@@ -307,11 +309,15 @@ def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _shared_keys(nodes: DataFrame) -> DataFrame:
-    """key, fp, n, pos, m: the first shingles that m > 1 nodes have in common."""
+def _shared_keys(nodes: DataFrame, similar: float) -> DataFrame:
+    """key, fp, n, pos, m: the first shingles that m > 1 nodes have in common, without the rows that `_meet` none of their
+    bucket. Of two rows that meet, the larger set's one could meet its own size, so that the least of such sizes decides."""
+    able = (F.col("n") - F.col("pos") + _EPSILON) * ((1 + similar) / similar) - F.col("n") + _EPSILON  # the largest set to meet here
     keys = nodes.select("fp", "n", F.posexplode("first").alias("pos", "key"))
-    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "copies-counts", release=True)
-    shared = materialize(keys.join(counts, "key"), "copies-shared", release=True)  # both sides are shuffled plainly, so that a hot one can be split
+    counts = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.when(able >= F.col("n"), F.col("n"))).alias("least")).where("m > 1 and least is not null")
+    counts = materialize(counts, "copies-counts", release=True)
+    shared = keys.join(counts, "key").where((able >= F.col("n")) | (able >= F.col("least"))).drop("least")
+    shared = materialize(shared, "copies-shared", release=True)  # both sides are shuffled plainly, so that a hot one can be split
     discard(counts)
     return shared
 
@@ -319,43 +325,29 @@ def _shared_keys(nodes: DataFrame) -> DataFrame:
 def _copy_edges(shared: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float, shingle: int, small_bucket: int) -> DataFrame:
     """Edges a, b that keep the components of the similar pairs. `shared` and every table that no later step reads are deleted."""
 
-    def led(rows: DataFrame, rank, *more: str) -> DataFrame:
-        """The members of each bucket but its member of the least rank, with that one as `first` and its columns."""
-        more = ("n", "pos", *more)
-        least = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "fp", *more)).alias("first"))
-        first = least.select("key", F.col("first.fp").alias("first"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in more])
+    def led(rows: DataFrame) -> DataFrame:
+        """The members of each bucket but the one with most shared shingles, with that one as `first` and its columns. Its own
+        changes, which no other text has, are the fewest, so it is nearest to the centre of its group."""
+        ranked = materialize(rows.withColumn("rank", -F.count("*").over(Window.partitionBy("fp"))), "copies-ranked", release=True)
+        discard(rows)
+        least = ranked.groupBy("key").agg(F.min(F.struct("rank", "fp", "n", "pos")).alias("first"))
+        first = least.select("key", F.col("first.fp").alias("first"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("n", "pos")])
         first = materialize(first, "copies-leaders")
-        found = materialize(rows.join(first, "key").where("fp <> first"), "copies-led", release=True)
-        discard(rows, first)
+        found = materialize(ranked.drop("rank").join(first, "key").where("fp <> first"), "copies-led", release=True)
+        discard(ranked, first)
         return found
 
-    def met(rows: DataFrame) -> DataFrame:
-        return rows.where(_meet("", "first_", similar)).select(*_ordered("fp", "first"))
-
-    def unsettled(written: DataFrame, edges: DataFrame, chosen: str = "true") -> DataFrame:
-        """The rows `chosen` of a written table, which goes, whose buckets hold different components."""
+    def unsettled(written: DataFrame, edges: DataFrame, chosen: str = "true") -> tuple[DataFrame, DataFrame]:
+        """The rows `chosen` of a written table, which goes, whose buckets hold different components, with the number of pairs
+        between these for each member (`open`); and the edges, which go too, as one star for each component."""
         roots = connected_components(edges).withColumnRenamed("node", "fp")
         rows = written.where(chosen).select("key", "fp", "n", "pos").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        some = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
-        some = materialize(some, "copies-mixed")
+        parts = rows.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
+        some = parts.groupBy("key").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("roots")).where("roots > 1")
+        some = materialize(some.select("key", "size", ((F.col("size") - F.col("within") / F.col("size")) / 2).alias("open")), "copies-mixed")
         found = materialize(rows.join(some, "key"), "copies-split", release=True)
-        discard(written, some, roots)
-        return found
-
-    def central(rest: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members against the one with most links, which is nearest to the centre of its group, where buckets hold
-        different components; pairs within a component are settled, so none that is a link already comes again."""
-        links = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg((-F.count("*")).alias("links"))
-        links = materialize(links, "copies-links")
-        linked = materialize(rest.join(links, "fp", "left").withColumn("links", F.coalesce("links", F.lit(0))), "copies-linked")
-        discard(rest, links)
-        others = led(linked, F.col("links"), "root")
-        edges = edges.unionByName(_verified(met(others.where("root <> first_root")), nodes, texts, similar, shingle))
-        return unsettled(others, edges), edges
-
-    once = led(shared, F.xxhash64("fp"))
-    edges = _verified(met(once), nodes, texts, similar, shingle)
-    rest, edges = central(unsettled(once, edges, "m > 2"), edges)
+        discard(written, some, edges)
+        return found, roots.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
 
     def paired(rows: DataFrame, on: list[str], more) -> DataFrame:
         """The pairs between different components in the same bucket for which `more` holds."""
@@ -364,16 +356,19 @@ def _copy_edges(shared: DataFrame, nodes: DataFrame, texts: DataFrame, similar:
         other = (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & _meet("a", "b", similar)
         return next(sides).join(next(sides), on).where(other & more & _near("a", "b")).select("a", "b")
 
-    # large buckets are dealt into parts of a few members by chance, other ones for each shingle: as members share many
+    once = led(shared)
+    edges = _verified(once.where(_meet("", "first_", similar)).select(*_ordered("fp", "first")), nodes, texts, similar, shingle)
+    rest, edges = unsettled(once, edges, "m > 2")
+    # buckets with many such pairs are dealt into parts of a few members by chance, other ones for each shingle: as members share many
     # shingles, a group that has links enough comes together without most of its pairs
     for turn in range(_TURNS):
-        large = rest.where(F.col("size") > small_bucket)
+        large = rest.where(F.col("open") > small_bucket)
         if large.isEmpty():
             break
         part = F.pmod(F.xxhash64("fp", "key", F.lit(turn)), F.ceil(F.col("size") / max(2, small_bucket // 8)))
         dealt = large.withColumn("part", part).withColumn("earlier", F.lit(None).cast("array<long>"))
         edges = edges.unionByName(_verified(paired(dealt, ["key", "part"], F.lit(True)), nodes, texts, similar, shingle))
-        rest, edges = central(unsettled(rest, edges), edges)
+        rest, edges = unsettled(rest, edges)
     # then every pair that is left, in the first of its buckets: where both have come to one shortly before, it is passed over
     before = Window.partitionBy("fp").orderBy("pos").rowsBetween(-_BEFORE, -1)
     once = ~F.arrays_overlap("aearlier", "bearlier")
@@ -399,7 +394,7 @@ def _grouped(docs: DataFrame, similar: float, shingle: int, small_bucket: int) -
     full = materialize(grouped, "copies-full", release=True)
     rows = materialize(prints.select("doc_id", "tie", "fp"), "copies-rows")
     discard(prints)
-    nodes, shared = materialize(full.drop("first"), "copies-nodes"), _shared_keys(full)
+    nodes, shared = materialize(full.drop("first"), "copies-nodes"), _shared_keys(full, similar)
     discard(full)
     edges = _copy_edges(shared, nodes, texts, similar, shingle, small_bucket)
     roots = connected_components(edges).withColumnRenamed("node", "fp")

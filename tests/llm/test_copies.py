@@ -199,6 +199,29 @@ def test_no_pair_is_lost_whatever_the_bucket(spark, bucket):
     assert got == {k: k - k % 2 for k in range(1400)}
 
 
+def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """Copies of one text with up to eight changed words, of which only those with few are similar: all links, but not all pairs."""
+    rng = random.Random(15)
+    base, n, made = [f"w{rng.randrange(4000)}" for _ in range(150)], 600, []
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), k % 9):
+            words[at] = f"new{rng.randrange(4000)}"
+        rows.append((k, " ".join(words), "en", 1, 2))
+    rng.shuffle(rows)
+    verified = simhash._verified
+
+    def counted(pairs, *more):
+        made.append(pairs.distinct().count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == slow_copies(rows)
+    assert sum(made) < 4 * n
+
+
 def slow_line_dedup(rows, min_words):
     """Every run of every document against all that stand earlier."""
     parsed = []
