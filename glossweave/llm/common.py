@@ -46,9 +46,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Cut lineage: write `df` to the shared folder and read it again. `release` has the driver collect garbage
-    then, upon which Spark deletes the shuffle files of the steps that are over."""
+    then, upon which Spark deletes the shuffle files of the steps that are over; and before, since the events of the
+    last step still hold its shuffle files when it ends."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     df.write.mode("overwrite").parquet(path)
     if release:
         spark.sparkContext._jvm.System.gc()

@@ -1,12 +1,15 @@
 """SimHash, components and line dedup against brute force."""
 
+import glob
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from glossweave.llm import line_dedup, simhash
+from glossweave.llm import common, line_dedup, simhash
 from glossweave.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, fp long, u long"
@@ -247,6 +250,23 @@ def slow_line_dedup(rows, min_words):
     return gone
 
 
+def test_shuffle_of_the_step_before_is_gone_while_a_table_is_written(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffles = lambda: {p for d in folders for p in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    def look(batches):
+        for batch in batches:
+            time.sleep(2)  # files go in the background
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(made & shuffles()), pa.string())], ["path"])
+
+    before = shuffles()
+    common.materialize(spark.range(10000).selectExpr("id % 7 as k").groupBy("k").count(), "first")
+    made = shuffles() - before
+    assert made
+    time.sleep(2)  # so do the events of the step
+    assert common.materialize(spark.range(1).coalesce(1).mapInArrow(look, "path string"), "second", release=True).collect() == []
+
+
 def test_line_dedup_matches_brute_force(spark):
     rng = random.Random(5)
     pool = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(25)]
